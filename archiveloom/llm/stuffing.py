@@ -95,8 +95,9 @@ def spam_share(text: str) -> float:
     units, words, total = [], [], 0
     for unit in _END.split(text.lower()):
         own = _WORD.findall(unit)
+        own = [w for w in own if not w[0].isdigit()]
         total += sum(map(len, own))
-        own = [w for w in own if not w[0].isdigit() and len(w) <= LONGEST]
+        own = [w for w in own if len(w) <= LONGEST]
         if own:
             units.append((len(words), unit, own))
             words += own
