@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -29,12 +31,27 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def ship(spark: SparkSession) -> None:
+    """Send this package to the executors once, so that Python stages find it wherever it was imported from."""
+    sc = spark.sparkContext
+    if getattr(sc, "_archiveloom_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="archiveloom-")) / "archiveloom.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(root.rglob("*.py")):
+            z.write(f, f.relative_to(root.parent))
+    sc.addPyFile(str(path))
+    sc._archiveloom_shipped = True
+
+
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a scan enough partitions to use all cores.
 
     A large table arrives in far more partitions than there are cores and is left alone, so that nothing is shuffled;
     only a table of few files (tests, small inputs) is dealt out evenly.
     """
+    ship(df.sparkSession)
     sc = df.sparkSession.sparkContext
     least = least or sc.defaultParallelism
     n = df._jdf.queryExecution().sparkPlan().execute().getNumPartitions()
