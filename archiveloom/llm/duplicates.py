@@ -20,8 +20,8 @@ HOT_KEYS = 10_000
 
 
 def letters_and_digits(text: Column) -> Column:
-    """The sequence of letters and digits, case aside (upper before lower, so that 'ß' equals 'SS')."""
-    return F.regexp_replace(F.lower(F.upper(text)), r"[^\p{L}\p{N}]+", "")
+    """The sequence of letters and digits, case aside ('ß' is 'ss', as its upper case is)."""
+    return F.replace(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", ""), F.lit("ß"), F.lit("ss"))
 
 
 def field_set(text: Column) -> Column:
@@ -77,7 +77,8 @@ def collapse_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text")
 def duplicate_members(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (keep_id, copy_id): every member of a set but the kept one. Same cases as :func:`collapse_duplicates`."""
     canon = _canonical(df, key, text)
-    seqs = _sequences(canon).select("ds", _digest(F.col("full")).alias("dk"), "first_id", "n")
+    # written once: each sequence's digests are wanted both for its set and for its members
+    seqs = settle(_sequences(canon).select("ds", _digest(F.col("full")).alias("dk"), "first_id", "n"))
     sets = seqs.groupBy("dk").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("copies")).where("copies > 1").drop("copies")
     slim = canon.select("dt", _digest(F.col("seq")).alias("ds"), "first_id", "n")
     placed = settle(slim.join(seqs.join(sets, "dk").select("ds", "keep_id"), "ds").select("dt", "first_id", "n", "keep_id"))

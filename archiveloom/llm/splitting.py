@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from archiveloom.session import ship
+
 #: Boundaries from strong to weak; a cut falls at the end of a match.
 BOUNDARIES = [
     re.compile(r"\n[ \t]*\n\s*"),
@@ -87,6 +89,7 @@ def split_oversized(df: DataFrame, key: str, text: str, limit: int = 2048, overl
     holds more than its Arrow batch. Null and empty texts have no pieces; equal keys are cut separately; other columns
     are ignored. Positions are code points, end exclusive.
     """
+    ship(df.sparkSession)
     items = df.select(F.col(key).cast("bigint").alias("item_key"), F.col(text).alias("piece"))
     size: Column = F.length("piece")
     short = items.where((size > 0) & (size <= limit)).select(

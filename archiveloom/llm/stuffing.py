@@ -111,7 +111,7 @@ def spam_share(text: str) -> float:
         if fresh < VARIED:
             suspect.append((i, i + len(part), fresh))
     if suspect:
-        prose = [_prose(unit, own) for _, unit, own in units for _ in own]
+        prose = [p for _, unit, own in units for p in [_prose(unit, own)] * len(own)]
         low = {j for i, k, fresh in suspect for j in range(i, k) if not prose[j] or fresh < VARIED_PROSE}
         # marks and figures between words count as their words do
         spam += (visible - spam) * sum(len(words[j]) for j in low) / total
