@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from archiveloom.llm.duplicates import collapse_duplicates, duplicate_members
+from archiveloom.llm.language import language_segments, mislabelled, record_languages
 from archiveloom.llm.splitting import split_oversized
 from archiveloom.llm.stuffing import spam_scores
 
@@ -29,6 +30,24 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+# 1. Missing or wrong language labels
+
+
+@query()
+def p1_found(spark: SparkSession, folder: str) -> DataFrame:
+    return mislabelled(table(spark, folder, "archive_records"), table(spark, folder, "lang_samples"))
+
+
+@query()
+def p1_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return language_segments(table(spark, folder, "archive_records"), table(spark, folder, "lang_samples"))
+
+
+@query()
+def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
+    return record_languages(language_segments(table(spark, folder, "archive_records"), table(spark, folder, "lang_samples")))
+
+
 # 3. Duplicates hidden by formatting differences
 
 
