@@ -11,6 +11,8 @@ from archiveloom.llm.duplicates import collapse_duplicates, duplicate_members
 from archiveloom.llm.language import language_segments, mislabelled, record_languages
 from archiveloom.llm.splitting import split_oversized
 from archiveloom.llm.stuffing import spam_scores
+from archiveloom.llm.subjects import assigned, composition, subject_scores
+from archiveloom.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -48,6 +50,23 @@ def p1_languages(spark: SparkSession, folder: str) -> DataFrame:
     return record_languages(language_segments(table(spark, folder, "archive_records"), table(spark, folder, "lang_samples")))
 
 
+# 2. Subject area of each document
+
+
+def _subject_scores(spark: SparkSession, folder: str) -> DataFrame:
+    return subject_scores(table(spark, folder, "qa_corpus"), table(spark, folder, "subject_seeds"))
+
+
+@query()
+def p2_found(spark: SparkSession, folder: str) -> DataFrame:
+    return assigned(_subject_scores(spark, folder)).select("node_id", "subject")
+
+
+@query()
+def p2_composition(spark: SparkSession, folder: str) -> DataFrame:
+    return composition(settle(_subject_scores(spark, folder)), table(spark, folder, "subject_areas"))
+
+
 # 3. Duplicates hidden by formatting differences
 
 
