@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from archiveloom.llm.duplicates import collapse_duplicates, duplicate_members
 from archiveloom.llm.language import language_segments, mislabelled, record_languages
+from archiveloom.llm.quality import text_quality
 from archiveloom.llm.splitting import split_oversized
 from archiveloom.llm.stuffing import spam_scores
 from archiveloom.llm.subjects import assigned, composition, subject_scores
@@ -80,6 +81,23 @@ def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
     return collapse_duplicates(table(spark, folder, "documents"))
 
 
+# 6. Per-document text quality statistics
+
+
+def _quality(spark: SparkSession, folder: str) -> DataFrame:
+    return text_quality(table(spark, folder, "archive_records"), table(spark, folder, "common_words"))
+
+
+@query()
+def p6_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder).where("kind <> 'prose'").select("rec_no", "kind").distinct()
+
+
+@query()
+def p6_statistics(spark: SparkSession, folder: str) -> DataFrame:
+    return _quality(spark, folder)
+
+
 # 7. Splitting oversized items
 
 
