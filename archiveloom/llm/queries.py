@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from archiveloom.llm.duplicates import collapse_duplicates, duplicate_members
 from archiveloom.llm.language import language_segments, mislabelled, record_languages
+from archiveloom.llm.markup import clean_markup
 from archiveloom.llm.quality import text_quality
 from archiveloom.llm.splitting import split_oversized
 from archiveloom.llm.stuffing import spam_scores
@@ -81,6 +82,19 @@ def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
     return collapse_duplicates(table(spark, folder, "documents"))
 
 
+# 4. Markup residue
+
+
+@query()
+def p4_found(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_markup(table(spark, folder, "archive_records")).where("n_pieces > 0").select("rec_no").distinct()
+
+
+@query()
+def p4_clean_text(spark: SparkSession, folder: str) -> DataFrame:
+    return clean_markup(table(spark, folder, "archive_records"))
+
+
 # 6. Per-document text quality statistics
 
 
