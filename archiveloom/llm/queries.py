@@ -11,6 +11,7 @@ from archiveloom.llm.duplicates import collapse_duplicates, duplicate_members
 from archiveloom.llm.language import language_segments, mislabelled, record_languages
 from archiveloom.llm.markup import clean_markup
 from archiveloom.llm.quality import text_quality
+from archiveloom.llm.scans import repair_scans
 from archiveloom.llm.splitting import split_oversized
 from archiveloom.llm.stuffing import spam_scores
 from archiveloom.llm.subjects import assigned, composition, subject_scores
@@ -95,6 +96,23 @@ def p4_clean_text(spark: SparkSession, folder: str) -> DataFrame:
     return clean_markup(table(spark, folder, "archive_records"))
 
 
+# 5. Noise in text from scanned pages
+
+
+def _repaired(spark: SparkSession, folder: str) -> DataFrame:
+    return repair_scans(table(spark, folder, "archive_records"), table(spark, folder, "common_words"))
+
+
+@query()
+def p5_found(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder).where("n_broken + n_misread + n_furniture > 0").select("rec_no").distinct()
+
+
+@query()
+def p5_repaired_text(spark: SparkSession, folder: str) -> DataFrame:
+    return _repaired(spark, folder)
+
+
 # 6. Per-document text quality statistics
 
 
