@@ -10,11 +10,14 @@ from pyspark.sql import functions as F
 from archiveloom.llm.duplicates import collapse_duplicates, duplicate_members
 from archiveloom.llm.language import language_segments, mislabelled, record_languages
 from archiveloom.llm.markup import clean_markup
+from archiveloom.llm.mixing import mixture, shares
+from archiveloom.llm.packing import pack, packing_report
 from archiveloom.llm.quality import text_quality
 from archiveloom.llm.scans import repair_scans
 from archiveloom.llm.splitting import split_oversized
 from archiveloom.llm.stuffing import spam_scores
 from archiveloom.llm.subjects import assigned, composition, subject_scores
+from archiveloom.llm.tokens import token_sizes
 from archiveloom.session import settle
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -150,6 +153,40 @@ def p7_pieces(spark: SparkSession, folder: str) -> DataFrame:
     return _pieces(spark, folder)
 
 
+# 8. Filling fixed-capacity containers
+
+
+def _packed(spark: SparkSession, folder: str) -> DataFrame:
+    return pack(settle(token_sizes(table(spark, folder, "documents"))), table(spark, folder, "containers"))
+
+
+@query()
+def p8_containers(spark: SparkSession, folder: str) -> DataFrame:
+    return _packed(spark, folder)
+
+
+@query()
+def p8_report(spark: SparkSession, folder: str) -> DataFrame:
+    return packing_report(_packed(spark, folder))
+
+
+# 9. Mixing sources to target weights
+
+
+def _mixed(spark: SparkSession, folder: str) -> DataFrame:
+    return mixture(settle(token_sizes(table(spark, folder, "documents"), keep=("source",))), table(spark, folder, "mix_targets"))
+
+
+@query()
+def p9_mixture(spark: SparkSession, folder: str) -> DataFrame:
+    return _mixed(spark, folder)
+
+
+@query()
+def p9_shares(spark: SparkSession, folder: str) -> DataFrame:
+    return shares(settle(_mixed(spark, folder)), table(spark, folder, "mix_targets"))
+
+
 # 10. Keyword-stuffed and link-list pages
 
 
