@@ -16,6 +16,8 @@ import regex
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from archiveloom.session import ship
+
 DIMENSIONS = 64
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
 
@@ -42,6 +44,7 @@ Embedder = Callable[[list[str]], np.ndarray]
 
 def embed(text: Column, loader: Callable[[], Embedder] = lambda: hashed) -> Column:
     """The vector of each text (null for null). ``loader`` is called once per worker and gives the embedder."""
+    ship()
 
     @F.pandas_udf("array<double>")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from archiveloom.functions import text as T
 from archiveloom.operators import parsing
-from archiveloom.session import settle
+from archiveloom.session import settle, ship
 
 Generator = Callable[[list[str]], list[str]]
 
@@ -23,6 +23,7 @@ def echo(prompts: list[str]) -> list[str]:
 
 def generate(prompt: Column, loader: Callable[[], Generator] = lambda: echo) -> Column:
     """The answer to each prompt (null for null), without its role mark."""
+    ship()
 
     @F.pandas_udf("string")
     def run(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:

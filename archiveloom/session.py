@@ -31,9 +31,12 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def ship(spark: SparkSession) -> None:
-    """Send this package to the executors once, so that Python stages find it wherever it was imported from."""
-    sc = spark.sparkContext
+def ship(spark: SparkSession | None = None) -> None:
+    """Send this package to the executors once, so that Python stages find it wherever it was imported from.
+
+    Functions that see only columns leave out the session; it is the active one then.
+    """
+    sc = (spark or SparkSession.active()).sparkContext
     if getattr(sc, "_archiveloom_shipped", False):
         return
     root = Path(__file__).resolve().parent
