@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from archiveloom.functions import text as T
 from archiveloom.functions.vectors import Embedder, hashed
-from archiveloom.session import ship
+from archiveloom.session import spread
 
 SHORT = 100
 
@@ -118,8 +118,7 @@ def _whole_if_few(sents: Column, text: Column, chunks: Column, least: int = 2) -
 
 
 def _docs(df: DataFrame, key: str, text: str) -> DataFrame:
-    ship(df.sparkSession)
-    return df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("doc_id"), F.col(text).alias("text"))
+    return spread(df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("doc_id"), F.col(text).alias("text")))
 
 
 def semantic_distances(df: DataFrame, key: str = "doc_id", text: str = "text", around: int = 1, pairs: bool = False, loader: Callable[[], Embedder] = lambda: hashed) -> DataFrame:
