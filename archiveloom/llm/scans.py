@@ -39,9 +39,9 @@ _HEADER_LINE = re.compile(
     re.I,
 )
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
-_BREAK = re.compile(r"(?P<left>[^\W_]+)(?P<mark>[-¬‐‑­])[ \t]*\n\s*(?P<right>[^\W_]+)")
+_BREAK = re.compile(r"(?<![^\W_])(?P<left>[^\W_]+)(?P<mark>[-¬‐‑­])[ \t]*\n\s*(?P<right>[^\W_]+)")
 _TOKEN = re.compile(r"[^\W_]+")
-_COMPOUND = re.compile(r"[^\W_]+(?:-[^\W_]+)+")
+_COMPOUND = re.compile(r"(?<![^\W_])[^\W_]+(?:-[^\W_]+)+")
 _MARKED = re.compile(r"\s*(?:[-–—•*·+>#|]|\d{1,3}[.)]\s|[a-z][.)]\s)")
 _ENDED = re.compile(r"[.!?:;…][\"'»”)\]]*\s*$")
 
@@ -222,7 +222,7 @@ def repaired(text: str, fixes: dict[str, str], known: set[str]) -> tuple[str, in
         else:
             broken = m["mark"] != "‑" or whole in known
         counts[0] += broken
-        return f"{left}{right} " if broken else f"{left}-{right} "
+        return f"{left}{right}" if broken else f"{left}-{right}"
 
     def fix(m: re.Match) -> str:
         word = m.group()
