@@ -22,6 +22,8 @@ from archiveloom.session import settle, spread
 BLOCK = 480
 #: A page is flagged when its redundant blocks compress to less than this part of the usual ratio.
 REDUNDANT = 1.0
+#: Texts from which a ratio is taken as usual.
+ENOUGH = 30
 #: Words in a window of repetition; a run of more letters than LONGEST is no word.
 WINDOW, LONGEST = 40, 40
 #: Share of different words below which a window repeats itself, outside of and within sentences.
@@ -124,7 +126,7 @@ SCORES = "doc_id bigint, lang string, length_bin int, ratio double, share double
 def spam_scores(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", redundant: float = REDUNDANT) -> DataFrame:
     """Rows (doc_id, lang, length_bin, ratio, usual, redundancy, share, flagged, spam) for every text with visible characters.
 
-    ``ratio`` is the block-wise compression ratio, ``usual`` its median over all texts of that language and length,
+    ``ratio`` is the block-wise compression ratio, ``usual`` what all texts of that language and length have,
     ``redundancy`` their quotient, ``share`` the share of spam in the text. Null, empty and blank texts give no row;
     equal keys give one row each; a null language is a language of its own; other columns are ignored.
     """
@@ -139,6 +141,12 @@ def spam_scores(df: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             })
 
     scored = settle(docs.mapInPandas(measure, SCORES))
-    usual = scored.groupBy("lang", "length_bin").agg(F.percentile_approx("ratio", 0.6, 1000).alias("usual"))
+    # the usual ratio of the text's language and length; never less than that of its language at any length, lest a length at which
+    # all texts are spam passes for usual. Few texts say little: a rare language takes the ratio of all languages.
+    middle = lambda p: F.percentile_approx("ratio", p, 1000)
+    of_length = scored.groupBy("lang", "length_bin").agg(middle(0.6).alias("a"), F.count("*").alias("n_a"))
+    of_lang = scored.groupBy("lang").agg(middle(0.5).alias("b"), F.count("*").alias("n_b"))
+    overall = F.lit(scored.select(middle(0.5)).scalar())
+    usual = of_length.join(of_lang, "lang").select("lang", "length_bin", F.greatest(F.when(F.col("n_a") >= ENOUGH, F.col("a")), F.when(F.col("n_b") >= ENOUGH, F.col("b")).otherwise(overall)).alias("usual"))
     out = scored.join(F.broadcast(usual), ["lang", "length_bin"]).withColumn("redundancy", F.col("ratio") / F.col("usual"))
     return out.withColumn("flagged", F.col("redundancy") < redundant).withColumn("spam", F.col("flagged") & (F.col("share") > 0.5))
