@@ -96,8 +96,8 @@ def titled_sections(text: Column) -> Column:
     marked = F.regexp_replace(text, r"(?d)\n(#+ .+?)\n", "\u0001$1\u0002")
     parts = F.split(marked, "\u0001")  # the lambda below sees a part and its place only
     one = lambda p, i: F.struct(
-        i.alias("pos"), F.when(i == 0, F.lit("")).otherwise(F.element_at(F.split(p, "\u0002"), 1)).alias("title"),
-        strip(F.when(i == 0, p).otherwise(F.element_at(F.split(p, "\u0002", 2), 2))).alias("body"),
+        i.alias("pos"), F.when(i == 0, F.lit("")).otherwise(F.get(F.split(p, "\u0002"), F.lit(0))).alias("title"),
+        strip(F.when(i == 0, p).otherwise(F.get(F.split(p, "\u0002", 2), F.lit(1)))).alias("body"),
     )
 
     def merged(rows: Column) -> Column:

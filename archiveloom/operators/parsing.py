@@ -22,8 +22,8 @@ def string_list(text: Column) -> Column:
 
 def fenced_triples(text: Column) -> Column:
     """``entities_and_triples`` of the first fenced JSON object; an unfinished one is cut at its last whole entry and closed."""
-    after = F.element_at(F.split(text, FENCE + "json", 2), 2)
-    body = F.element_at(F.split(after, FENCE, 2), 1)
+    after = F.get(F.split(text, FENCE + "json", 2), F.lit(1))
+    body = F.get(F.split(after, FENCE, 2), F.lit(0))
     whole = F.contains(after, F.lit(FENCE))
     head = F.regexp_extract(body, r'(?s)^(.*)",', 1)
     mended = F.when(whole, body).otherwise(F.concat(head, F.lit('"]}')))
