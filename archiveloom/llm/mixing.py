@@ -75,7 +75,7 @@ def shares(mixed: DataFrame, targets: DataFrame) -> DataFrame:
     """Per target: its share, the actual share of the mixture's tokens, records, uses, tokens and most uses of one record."""
     per = mixed.groupBy("source", "doc_id").agg(F.count("*").alias("uses"), F.sum("tokens").alias("tokens"))
     got = per.groupBy("source").agg(F.count("*").alias("records"), F.sum("uses").alias("uses"), F.sum("tokens").alias("tokens"), F.max("uses").cast("int").alias("most_repeats"))
-    total = got.agg(F.sum("tokens").alias("all_tokens"))
+    total = got.agg(F.sum("tokens")).scalar()
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
-    out = targets.select("source", "target_share", "max_repeats").join(got, "source", "left").crossJoin(F.broadcast(total))  # a single row
-    return out.select("source", "target_share", "max_repeats", zero("records"), zero("uses"), zero("tokens"), zero("most_repeats"), F.coalesce(F.col("tokens") / F.col("all_tokens"), F.lit(0.0)).alias("actual_share"))
+    out = targets.select("source", "target_share", "max_repeats").join(got, "source", "left")
+    return out.select("source", "target_share", "max_repeats", zero("records"), zero("uses"), zero("tokens"), zero("most_repeats"), F.coalesce(F.col("tokens") / total, F.lit(0.0)).alias("actual_share"))

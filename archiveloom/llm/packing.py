@@ -102,9 +102,10 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", partition
     items like any other; null sizes have no row. Without items or containers the result is empty. ``certified``: the
     container's partition uses no more containers than its lower bound.
     """
-    kinds = containers.where("capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).distinct()
+    known = containers.where("container_kind is not null and capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).distinct().collect()
+    kinds = F.array(*[F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(r["capacity"]).alias("capacity")) for r in sorted(known)]).cast("array<struct<container_kind:string,capacity:int>>")
     base = sizes.where("tokens is not null").select(F.col(key).cast("bigint").alias("key"), F.col("tokens").cast("bigint").alias("size"))
-    each = base.crossJoin(F.broadcast(kinds))  # every item with each of the few kinds of container
+    each = base.select("key", "size", F.explode(kinds).alias("c")).select("key", "size", "c.*")  # every item for each of the few kinds
     full = F.when(F.col("size") > F.col("capacity"), (F.col("size") / F.col("capacity")).cast("bigint")).otherwise(F.lit(0))
     rest = F.col("size") - F.col("full") * F.col("capacity")
     each = each.withColumn("full", full).withColumn("rest", rest)

@@ -24,6 +24,8 @@ from archiveloom.session import settle, spread
 
 DIMENSIONS = 32
 WINDOW = 2
+#: Parts of each word in joins, so that a word of a third of all records isn't one task's.
+SALTS = 16
 #: A frequent word has at least this many times the occurrences of a rare one that is linked to it.
 RATIO = 15
 #: Least cosine of the vectors of a rare word and its frequent neighbour. A vector of one or two occurrences says little, so only
@@ -283,9 +285,11 @@ def repair_scans(df: DataFrame, words: DataFrame, key: str = "rec_no", text: str
             yield pd.DataFrame({"rec_no": pd.array(recs, "Int64"), "word": found, "kind": kinds})
 
     probes = texts.where("rec_no is not null").select("rec_no", "body").mapInPandas(probe, PROBES)
-    fixable = wrong.select("word", "right", "agreement", "n_right", F.lit("w").alias("kind"))
-    fixes = probes.where("kind = 'w'").join(fixable.drop("kind"), "word")
-    joins = probes.where("kind = 'j'").distinct().join(lex.where("n >= 3").select("word"), "word", "left_semi")
+    salt = F.pmod(F.xxhash64("rec_no"), F.lit(SALTS)).cast("int").alias("salt")
+    salts = F.explode(F.array(*map(F.lit, range(SALTS)))).alias("salt")
+    fixable = wrong.select("word", "right", "agreement", "n_right", salts)
+    fixes = probes.where("kind = 'w'").select("rec_no", "word", salt).join(fixable, ["word", "salt"]).drop("salt")
+    joins = probes.where("kind = 'j'").select("rec_no", "word").distinct().join(lex.where("n >= 3").select("word"), "word", "left_semi")
     chosen = _in_context(fixes, texts, lex)
     by_record = (
         chosen.select("rec_no", F.struct("word", "right").alias("fix"), F.lit(None).cast("string").alias("join"))
