@@ -37,6 +37,7 @@ _BREAKS = [
     (re.compile(r"<[^<>\n]{1,200}>"), " "),
     (re.compile(r"\\(?:begin|end)\{[^}]*\}(?:\{[^}]*\})?"), "\n"),
 ]
+_ACCENT = re.compile(r"\\[\"'`^~=.]\s?(?:\{\\?([A-Za-z])\}|\\?([A-Za-z]))")
 _MARK = re.compile(r"\s*(?:[-–—•*·▪◦‣+]+\s+|[([]?(?:\d{1,3}|[A-Za-z]|[ivxlc]{1,5})[.)\]]\s+|\[\d+\]\s)")
 _WORD = re.compile(r"[^\W\d_]+")
 _LEADER = re.compile(r"\w.*?(?:\.{4,}|(?:\s\.){3,}|…{2,})\s*\S")
@@ -51,6 +52,8 @@ def lines_of(text: str) -> list[str]:
     """Lines without their markup, with list items and table rows on lines of their own."""
     if "&" in text:
         text = html.unescape(text)
+    if "\\" in text:
+        text = _ACCENT.sub(lambda m: m.group(1) or m.group(2), text)
     if "<" in text or "\\" in text:
         for pattern, to in _BREAKS:
             text = pattern.sub(to, text)

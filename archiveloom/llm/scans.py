@@ -41,6 +41,7 @@ _HEADER_LINE = re.compile(
     re.I,
 )
 _TAG = re.compile(r"</?[A-Za-z][^<>\n]{0,200}>")
+_ATTRIBUTE = re.compile(r"\b[\w-]{1,40}=(?:\"[^\"\n]*\"|'[^'\n]*')")
 _BREAK = re.compile(r"(?<![^\W_])(?P<left>[^\W_]+)(?P<mark>[-¬‐‑­])[ \t]*\n\s*(?P<right>[^\W_]+)")
 _TOKEN = re.compile(r"[^\W_]+")
 _COMPOUND = re.compile(r"(?<![^\W_])[^\W_]+(?:-[^\W_]+)+")
@@ -86,7 +87,7 @@ def joined(text: str) -> str:
 
 
 def prepared(text: str) -> str:
-    return joined(without_furniture(_TAG.sub(" ", text))[0]).lower()
+    return joined(without_furniture(_ATTRIBUTE.sub(" ", _TAG.sub(" ", text)))[0]).lower()
 
 
 # ---- lexicon -----------------------------------------------------------------------------------------------------------------
