@@ -49,3 +49,9 @@ def test_held_out_accuracy(spark, samples):
 def test_no_samples(spark, samples):
     df = spark.createDataFrame([(1, EN)], "rec_no bigint, content string")
     assert [r["lang"] for r in language_segments(df, samples.limit(0)).collect()] == [""]
+
+
+def test_numbered_entries_are_no_sentences(spark, samples):
+    text = "\n".join(f"{i}. the {w} of the harbour guards, 40" for i, w in enumerate(["ropes", "lamps", "boats", "pumps"] * 5, 1))
+    df = spark.createDataFrame([(1, text, "fr")], "rec_no bigint, content string, lang_label string")
+    assert mislabelled(df, samples).collect() == []
