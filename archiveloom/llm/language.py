@@ -51,8 +51,8 @@ _TAGS = re.compile(r"<[^<>\n]{0,300}>")
 _TEX = re.compile(r"\\[\"'`^~=.c]\{?([A-Za-z])\}?")
 _TEX_COMMAND = re.compile(r"\\[A-Za-z]+\*?|\\\W")
 _ADDRESS = re.compile(r"(?:https?://|www\.)\S+")
-# nor does the one after an abbreviation, or after a number at the start of a line
-_NOT_AFTER = r"(?<!\n\d\.)(?<!\n\d\d\.)(?<!\n\d\d\d\.)" + "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS.split())
+# nor does the one after an abbreviation, after a number at the start of a line, or at the end of a row of dots
+_NOT_AFTER = r"(?<!\.\.\.\.)(?<!\n\d\.)(?<!\n\d\d\.)(?<!\n\d\d\d\.)" + "".join(rf"(?<!\b{a}\.)" for a in ABBREVIATIONS.split())
 _STOP = re.compile(
     rf"(?<=[.!?…]){_NOT_AFTER}(?:[\"'»”)\]*_]+)?(?=\s|$)(?!(?<=\b\d\.)\s+(?:{GERMAN_MONTHS})\b)(?!(?<=\b\d\d\.)\s+(?:{GERMAN_MONTHS})\b)|(?<=\s)STOP(?=\s)|\n\s*\n", re.I
 )
