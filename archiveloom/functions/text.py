@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# The pattern of garbled text, that of a wiki title, and the rule of a table.
 #: Five or more words of one or two letters in a row: a sign of bad recognition.
 GARBLED = r"(?iU)(\b\w{1,2}\b\s*){5,}"
 #: A first-level heading of a wiki line; '$' also before a final line end.

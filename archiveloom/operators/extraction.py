@@ -8,7 +8,8 @@ from pyspark.sql.window import Window
 
 from archiveloom.functions import text as T
 
-#: Marks in a file's name that tell its kind; the first that fits counts, so that a name with two of them is no error.
+# Marks in a file's name that tell its kind (the first that fits counts, so that a name with two of them is no error), the
+# footer of communications, and the rule line of tables in reports.
 KINDS = (("CAP", "communication"), ("CIRC", "circular"), ("CDP", "sections"), ("RA", "sections"), ("annual-report", "report"))
 FOOTER = r"(?s)COMMUNICATION TO THE.*?\n.*? N'EXISTE PAS\n"
 REPORT_RULE = "-" * 56

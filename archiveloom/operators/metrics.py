@@ -9,6 +9,10 @@ from archiveloom.functions import text as T
 
 METRICS = ("hit_rate", "mrr", "precision", "recall", "ap", "ndcg")
 
+# How malformed questions begin, and what they hold.
+NOT_ASKED = ("```", "import")
+ASKING = "uestion"
+
 
 def array_metrics(expected: Column, retrieved: Column) -> dict[str, Column]:
     """The metrics of one ranked list against its relevant ids; a null or empty list scores 0, no relevant ids give null recall, ap and ndcg."""
@@ -49,7 +53,9 @@ def metrics_mean(per_query: DataFrame, by: str = "retriever") -> DataFrame:
 
 def select_qa(queries: DataFrame, qrels: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Well-formed questions and their relevance pairs; null texts aren't well-formed."""
-    bad = F.startswith("text", F.lit("```")) | F.startswith("text", F.lit("import")) | F.contains("text", F.lit("uestion"))
+    bad = F.contains("text", F.lit(ASKING))
+    for start in NOT_ASKED:
+        bad = bad | F.startswith("text", F.lit(start))
     good = queries.where(~bad)
     return good, qrels.join(good.select("qid"), "qid", "left_semi")
 

@@ -39,9 +39,13 @@ def topic_groups(df: DataFrame, topic: str, doc: str) -> DataFrame:
     return df.where(F.col(topic).isNotNull()).select(F.md5(F.col(topic).cast("string")).alias("topic_id"), F.col(topic).alias("topic"), F.col(doc).alias("doc"))
 
 
+# How a model's excuses begin.
+EXCUSES = "^(This|Un|un|No|Cryptic)"
+
+
 def training_frame(df: DataFrame, topic: str, doc: str, corpus: str) -> DataFrame:
     """Rows (topic, doc, corpus, doc_embeddings) without topics that a model phrased as an excuse."""
-    rows = df.select(F.col(topic).alias("topic"), F.col(doc).alias("doc"), F.col(corpus).alias("corpus")).where(~F.col("topic").rlike("^(This|Un|un|No|Cryptic)"))
+    rows = df.select(F.col(topic).alias("topic"), F.col(doc).alias("doc"), F.col(corpus).alias("corpus")).where(~F.col("topic").rlike(EXCUSES))
     return rows.withColumn("doc_embeddings", embed(F.col("doc")))
 
 

@@ -103,6 +103,20 @@ def retrieval_evaluation(spark, folder):
     return per.agg(F.count("*").alias("n_queries"), F.round(F.avg("hit_rate"), 6).alias("hit_rate"), F.round(F.avg("mrr"), 6).alias("mrr"))
 
 
+@query(
+    """
+WITH v AS (SELECT vec_id // 10 AS g, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT row_number() OVER () AS i, v FROM v WHERE g = 0)
+SELECT g, round(sum(best), 6) AS score FROM (SELECT v.g, q.i, max(list_inner_product(q.v, v.v)) AS best FROM v, q GROUP BY v.g, q.i) GROUP BY g"""
+)
+def maxsim_scores(spark, folder):
+    """Late interaction of one query (the first ten vectors) with every group of ten."""
+    groups = table(spark, folder, "embeddings").where("embedding is not null").select(F.expr("vec_id div 10").alias("g"), F.col("embedding").cast("array<double>").alias("v"))
+    groups = groups.groupBy("g").agg(F.collect_list("v").alias("vs"))  # ten at most
+    asked = groups.where("g = 0").select("vs").first()["vs"]
+    q = F.array(*[F.array(*map(F.lit, v)) for v in asked])
+    return groups.select("g", F.round(S.maxsim(q, F.col("vs")), 6).alias("score"))
+
+
 @query()
 def dense_text_topk(spark, folder):
     """Dense retrieval over embedded texts (the default hashed embedder)."""

@@ -10,6 +10,10 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A table of so many partitions is never dealt out anew.
+ENOUGH_PARTITIONS = 64
+
+
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared checkpoint folder named by ``spark.checkpoint.dir``; one is set only where none is (local tests)."""
     sc = spark.sparkContext
@@ -51,11 +55,13 @@ def ship(spark: SparkSession | None = None) -> None:
 def spread(df: DataFrame, least: int | None = None) -> DataFrame:
     """Give a scan enough partitions to use all cores.
 
-    A large table arrives in far more partitions than there are cores and is left alone, so that nothing is shuffled;
-    only a table of few files (tests, small inputs) is dealt out evenly.
+    A large table arrives in many partitions and is left alone, so that nothing is shuffled; only a table of few files (tests,
+    small inputs) is dealt out evenly, over ENOUGH_PARTITIONS at most. What isn't a plain scan keeps its partitions.
     """
     ship(df.sparkSession)
-    sc = df.sparkSession.sparkContext
-    least = least or sc.defaultParallelism
-    n = df._jdf.queryExecution().sparkPlan().execute().getNumPartitions()
+    least = least or min(df.sparkSession.sparkContext.defaultParallelism, ENOUGH_PARTITIONS)
+    try:
+        n = df._jdf.queryExecution().sparkPlan().execute().getNumPartitions()
+    except Exception:  # noqa: BLE001 - a plan with joins has no partitions before it is prepared
+        return df
     return df if n >= least else df.repartition(least)
