@@ -75,13 +75,31 @@ def p2_composition(spark: SparkSession, folder: str) -> DataFrame:
 
 # 3. Duplicates hidden by formatting differences
 
+_LETTERS = r"replace(regexp_replace(lower({}), '[^\p{{L}}\p{{N}}]+', '', 'g'), 'ß', 'ss')"
+_FIELD = r"(?s)^\s*(\p{L}[^:=\n]{0,60}?)\s*[:=]\s*(\S.*?)\s*$"
 
-@query()
+
+def _fields(parts: str) -> str:
+    one = f"{_LETTERS.format(f"regexp_extract(p, '{_FIELD}', 1)")} || chr(1) || {_LETTERS.format(f"regexp_extract(p, '{_FIELD}', 2)")}"
+    whole = rf"len({parts}) >= 2 AND len(list_filter({parts}, lambda p: NOT (regexp_matches(p, '{_FIELD}') AND regexp_matches(p, '[:=].*[\p{{L}}\p{{N}}]')))) = 0"
+    return f"CASE WHEN {whole} THEN array_to_string(list_sort(list_distinct(list_transform({parts}, lambda p: {one}))), chr(2)) END"
+
+
+_DUPLICATES = rf"""
+WITH d AS (SELECT doc_id, text, {_LETTERS.format("text")} AS seq, regexp_replace(text, '^[^\p{{L}}\p{{N}}]+|[^\p{{L}}\p{{N}}]+$', '', 'g') AS bare FROM documents WHERE text IS NOT NULL AND doc_id IS NOT NULL),
+p AS (SELECT *, CASE WHEN regexp_matches(bare, '[;|]') THEN list_filter(regexp_split_to_array(regexp_replace(bare, '[\r\n]+', ' ', 'g'), '\s*[;|]\s*'), lambda x: trim(x) <> '') END AS m,
+    list_filter(regexp_split_to_array(bare, '\s*[\r\n]+\s*'), lambda x: trim(x) <> '') AS l FROM d WHERE seq <> ''),
+c AS (SELECT doc_id, seq, coalesce({_fields("m")}, {_fields("l")}) AS card FROM p),
+k AS (SELECT doc_id, coalesce(chr(3) || max(card) OVER (PARTITION BY seq), seq) AS k FROM c),
+g AS (SELECT k, min(doc_id) AS keep_id, count(*) AS copies FROM k GROUP BY k)"""
+
+
+@query(_DUPLICATES + " SELECT keep_id, doc_id AS copy_id FROM k JOIN g USING (k) WHERE doc_id <> keep_id")
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return duplicate_members(table(spark, folder, "documents"))
 
 
-@query()
+@query(_DUPLICATES + " SELECT keep_id, copies FROM g")
 def p3_copies(spark: SparkSession, folder: str) -> DataFrame:
     return collapse_duplicates(table(spark, folder, "documents"))
 
