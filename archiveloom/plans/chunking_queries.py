@@ -200,4 +200,4 @@ def generated_questions(spark, folder):
 
 @query()
 def topic_tags(spark, folder):
-    return docs(spark, folder).select("doc_id", P.topic_tag(F.substring_index("text", "\n", 1)).alias("topic"))
+    return docs(spark, folder).select("doc_id", P.topic_tag(F.col("text")).alias("topic"))

@@ -115,11 +115,17 @@ def capped_edges(spark, folder):
     return G.capped(table(spark, folder, "nation"), "n_regionkey", "n_name", 3).select(F.col("n_regionkey").alias("region"), F.col("n_name").alias("nation"))
 
 
-@query()
+@query(
+    r"""
+WITH e AS (SELECT node_id, unnest(list_distinct(list_append(regexp_extract_all(lower(text), '[\p{L}]{6,}'), lower(node_id)))) AS entity FROM (SELECT node_id, min(text) AS text FROM qa_corpus WHERE text IS NOT NULL GROUP BY node_id)),
+q AS (SELECT qid, unnest(list_distinct(regexp_extract_all(lower(text), '[\p{L}\p{N}]+'))) AS entity FROM qa_queries WHERE text IS NOT NULL AND ('0x' || substr(qid, 1, 8))::BIGINT % 20 = 0),
+s AS (SELECT qid, node_id, count(*)::DOUBLE AS score FROM q JOIN e USING (entity) GROUP BY qid, node_id)
+SELECT qid, node_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id)::INT AS rank FROM s) WHERE rank <= 3"""
+)
 def graph_retrieval(spark, folder):
-    """Nodes whose edges name the question's entities; a node's entities are its title's words here."""
+    """Nodes whose edges name the question's entities; a node's entities are its long words here."""
     nodes = table(spark, folder, "qa_corpus").where("text is not null").groupBy("node_id").agg(F.min("text").alias("text"))
-    words = F.slice(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{6,})"), F.lit(1))), 1, 5)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}{6,})"), F.lit(1)))
     edges = nodes.select("node_id", F.posexplode(words).alias("pos", "dst")).select(F.col("node_id").alias("src"), "dst", "node_id")
     asked = _questions(spark, folder).where(F.conv(F.substring("qid", 1, 8), 16, 10).cast("bigint") % 20 == 0)
     return graph_topk(asked, edges)
@@ -129,7 +135,7 @@ def graph_retrieval(spark, folder):
 def community_answers(spark, folder):
     edges = _qrels_edges(spark, folder)
     found = G.connected_components(edges).select("vertex", F.col("component").alias("community"))
-    texts = G.community_texts(G.community_lines(edges, found)).select("community", F.substring_index("text", "\n", 1).alias("text"))
+    texts = G.community_texts(G.community_lines(edges, found)).select("community", "text")
     return providers.answer_communities(texts, "What is asked").select(F.length("answer").cast("bigint").alias("n_chars"))
 
 
