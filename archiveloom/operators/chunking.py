@@ -281,19 +281,27 @@ def chunk_tokens(df: DataFrame, key: str = "doc_id", text: str = "text", size: i
     return _numbered(rows, F.transform(starts, lambda i: F.array_join(F.slice("w", i + 1, size), " ")))
 
 
-def chunk_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1024) -> DataFrame:
-    """Whole sentences packed greedily up to so many characters; a longer sentence stands alone."""
-    sents = T.sentences(F.col("text"))
-    rows = _docs(df, key, text).withColumn("s", sents)
-
-    def step(acc: Column, x: Column) -> Column:
+def chunk_sentences(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1024, overlap: int = 0) -> DataFrame:
+    """Whole sentences packed greedily up to so many characters; a longer sentence stands alone. A chunk begins with as many sentences
+    of the one before it as the overlap and the size have room for."""
+    rows = _docs(df, key, text).withColumn("s", T.sentences(F.col("text"))).where(F.size("s") > 0)
+    s = F.col("s")
+    run = lambda a, b: F.array_join(F.slice(s, a + 1, b - a + 1), " ")
+    first = F.array(F.struct(F.lit(0).alias("a"), F.lit(0).alias("b")))
+
+    def step(acc: Column, i: Column) -> Column:
         last = F.element_at(acc, -1)
-        fits = (F.size(acc) > 0) & (F.length(last) + 1 + F.length(x) <= size)
-        return F.when(fits, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.concat(last, F.lit(" "), x)))).otherwise(F.concat(acc, F.array(x)))
-
-    # an empty accumulator has no last element, so the first sentence starts it
-    head = F.slice(F.col("s"), 1, 1)
-    return _numbered(rows.where(F.size("s") > 0), F.aggregate(F.slice(F.col("s"), 2, F.greatest(F.size("s") - 1, F.lit(0))), head, step))
+        back = F.lit(0)
+        if overlap:
+            # a sentence and the space after it take two characters at least
+            near = F.sequence(F.lit(1), F.greatest(F.least(i - last["a"], F.lit(overlap // 2 + 1)), F.lit(1)))
+            back = F.size(F.filter(near, lambda j: (j <= i - last["a"]) & (F.length(run(i - j, i - 1)) <= overlap) & (F.length(run(i - j, i)) <= size)))
+        fits = F.length(run(last["a"], i)) <= size
+        grown = F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last["a"].alias("a"), i.alias("b"))))
+        return F.when(fits, grown).otherwise(F.concat(acc, F.array(F.struct((i - back).alias("a"), i.alias("b")))))
+
+    rest = F.when(F.size(s) > 1, F.sequence(F.lit(1), F.size(s) - 1)).otherwise(F.array().cast("array<int>"))
+    return _numbered(rows, F.transform(F.aggregate(rest, first, step), lambda x: run(x["a"], x["b"])))
 
 
 def recursive_pieces(text: str, size: int, overlap: int, separators: tuple[str, ...] = ("\n\n", "\n", " ", "")) -> list[str]:

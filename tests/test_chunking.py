@@ -127,3 +127,10 @@ def test_routing_and_nodes(spark):
     assert {r["doc_id"] for r in got} == {2, 3} and [r["chunk"] for r in got if r["doc_id"] == 2] == ["y" * 500]
     ids = [r["node_id"] for r in C.nodes(C.chunk_tokens(df)).collect()]
     assert len(set(ids)) == len(ids) and all(len(i) == 64 for i in ids)
+
+
+def test_sentences_overlap(spark):
+    df = spark.createDataFrame([(1, "One two. Three. Four five six. Seven. Eight nine ten.")], "doc_id bigint, text string")
+    got = [r["chunk"] for r in C.chunk_sentences(df, size=25, overlap=8).orderBy("chunk_no").collect()]
+    assert got == ["One two. Three.", "Three. Four five six.", "Seven. Eight nine ten."]
+    assert [r["chunk"] for r in C.chunk_sentences(df, size=25).orderBy("chunk_no").collect()] == ["One two. Three.", "Four five six. Seven.", "Eight nine ten."]
