@@ -43,31 +43,50 @@ brk AS (SELECT doc_id, d, list_filter(range(len(d)), lambda i: d[i + 1] > t) AS
     )
 
 
-def _chunks_sql(pairs: bool, p: float) -> str:
-    joint, end = (". ", ". ") if pairs else (" ", "")
-    tail = (
-        "CASE WHEN len(tl) < 100 AND len(chunks) > 0 THEN list_append(chunks[:len(chunks) - 1], chunks[len(chunks)] || tl) ELSE list_append(chunks, tl) END" if pairs else "list_append(chunks, tl)"
-    )
-    return (
-        _breaks_sql(pairs, p)
-        + f""", fold AS (
+def _fold_sql(joint: str, end: str, falling: bool, merge_tail: bool, least: int) -> str:
+    """The fold over ``sents`` (doc_id, text, s) and ``brk`` (doc_id, d, b)."""
+    tail = "CASE WHEN len(tl) < 100 AND len(chunks) > 0 THEN list_append(chunks[:len(chunks) - 1], chunks[len(chunks)] || tl) ELSE list_append(chunks, tl) END" if merge_tail else "list_append(chunks, tl)"
+    piece = f"array_to_string(list_slice(s.s, f.start + 1, b.b[f.k + 1] + 1), '{joint}') || '{end}'"
+    return f""", fold AS (
     SELECT doc_id, 0::BIGINT AS k, 0::BIGINT AS start, []::VARCHAR[] AS chunks FROM brk
     UNION ALL
     SELECT doc_id, k + 1, CASE WHEN NOT short OR glue THEN cut + 1 ELSE start END,
         CASE WHEN NOT short THEN list_append(chunks, t) WHEN glue THEN list_append(chunks[:len(chunks) - 1], chunks[len(chunks)] || t) ELSE chunks END
     FROM (
-        SELECT f.doc_id, f.k, f.start, f.chunks, b.b[f.k + 1] AS cut, array_to_string(list_slice(s.s, f.start + 1, b.b[f.k + 1] + 1), '{joint}') || '{end}' AS t,
-            len(array_to_string(list_slice(s.s, f.start + 1, b.b[f.k + 1] + 1), '{joint}') || '{end}') < 100 AS short,
-            len(array_to_string(list_slice(s.s, f.start + 1, b.b[f.k + 1] + 1), '{joint}') || '{end}') < 100 AND len(f.chunks) > 0 AND coalesce(b.d[f.start] < b.d[b.b[f.k + 1] + 1], false) AS glue
+        SELECT f.doc_id, f.k, f.start, f.chunks, b.b[f.k + 1] AS cut, {piece} AS t, len({piece}) < 100 AS short,
+            len({piece}) < 100 AND len(f.chunks) > 0 AND coalesce(b.d[f.start] {">" if falling else "<"} b.d[b.b[f.k + 1] + 1], false) AS glue
         FROM fold f JOIN brk b USING (doc_id) JOIN sents s USING (doc_id) WHERE f.k < len(b.b)
     )
 ), ended AS (
     SELECT f.doc_id, CASE WHEN f.start < len(s.s) THEN {tail} ELSE chunks END AS chunks
-    FROM (SELECT f.*, array_to_string(list_slice(s.s, f.start + 1, len(s.s)), '{joint}') AS tl FROM fold f JOIN brk b USING (doc_id) JOIN sents s USING (doc_id) WHERE f.k = len(b.b)) f JOIN sents s USING (doc_id)
-    UNION ALL SELECT doc_id, [text] AS chunks FROM sents WHERE len(s) < 2
+    FROM (SELECT f.*, array_to_string(list_slice(s.s, f.start + 1, len(s.s)), '{joint}') AS tl FROM fold f JOIN brk b USING (doc_id) JOIN sents s USING (doc_id) WHERE f.k = len(b.b) AND len(s.s) >= {least}) f JOIN sents s USING (doc_id)
+    UNION ALL SELECT doc_id, [text] AS chunks FROM sents WHERE len(s) < {least}
 )
 SELECT doc_id, unnest(range(len(chunks))) AS chunk_no, len(unnest(chunks)) AS n_chars, md5(unnest(chunks)) AS digest FROM ended"""
-    )
+
+
+def _chunks_sql(pairs: bool, p: float) -> str:
+    return _breaks_sql(pairs, p) + (_fold_sql(". ", ". ", False, True, 2) if pairs else _fold_sql(" ", "", False, False, 2))
+
+
+TOPIC_CHUNKS = (
+    rf"""
+WITH RECURSIVE stops AS (SELECT list(DISTINCT word) AS stops FROM common_words),
+sents AS (SELECT doc_id, text, {SENTS3} AS s FROM documents WHERE text IS NOT NULL AND text <> ''),
+idx AS (SELECT doc_id, len(s) AS n, unnest(range(len(s))) AS i, unnest(s) AS sentence FROM sents),
+words AS (SELECT doc_id, i, unnest(list_filter(regexp_extract_all(lower(sentence), '[\p{{L}}]+'), lambda w: len(w) >= 3 AND NOT list_contains(stops, w))) AS w FROM idx, stops),
+counted AS (SELECT doc_id, i, ('0x' || substr(md5(w), 1, 4))::INT % 16 AS k, count(*) AS c FROM words GROUP BY ALL),
+foremost AS (SELECT doc_id, i, k FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, i ORDER BY c DESC, k) AS nth FROM counted) WHERE nth <= 3),
+members AS (SELECT DISTINCT idx.doc_id, idx.i, l.k FROM idx JOIN foremost l ON l.doc_id = idx.doc_id AND l.i BETWEEN idx.i AND CASE WHEN idx.i < idx.n - 2 THEN idx.i + 2 ELSE idx.i END),
+sizes AS (SELECT doc_id, i, count(*)::DOUBLE AS q FROM members GROUP BY ALL),
+shared AS (SELECT a.doc_id, a.i, count(*)::DOUBLE AS x FROM members a JOIN members b ON a.doc_id = b.doc_id AND b.i = a.i + 1 AND a.k = b.k GROUP BY ALL),
+coherent AS (
+    SELECT idx.doc_id, idx.i, CASE WHEN a.q > 0 AND b.q > 0 THEN coalesce(x, 0) / sqrt(a.q * b.q) ELSE 0 END AS c FROM idx LEFT JOIN sizes a ON a.doc_id = idx.doc_id AND a.i = idx.i
+    LEFT JOIN sizes b ON b.doc_id = idx.doc_id AND b.i = idx.i + 1 LEFT JOIN shared ON shared.doc_id = idx.doc_id AND shared.i = idx.i WHERE idx.i < idx.n - 1
+),
+brk AS (SELECT doc_id, d, list_filter(range(len(d)), lambda i: d[i + 1] < 0.5) AS b FROM (SELECT doc_id, list(c ORDER BY i) AS d FROM coherent GROUP BY doc_id))"""
+    + _fold_sql(". ", ". ", True, True, 3)
+)
 
 
 def _report(chunks):
@@ -132,7 +151,7 @@ def chunks_chain(spark, folder):
     return _report(C.chunk_chain(docs(spark, folder)))
 
 
-@query()
+@query(TOPIC_CHUNKS)
 def chunks_topic(spark, folder):
     return _report(C.chunk_topics(docs(spark, folder), stop=stop_words(spark, folder)))
 
