@@ -13,6 +13,8 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
+from operator import itemgetter
 
 import numpy as np
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from archiveloom.session import spread
 
 LONGEST_GRAM = 4
-PROFILE_SIZE = 500
+PROFILE_SIZE = 800
 #: Beyond this share of the greatest possible distance a sentence is in no known language.
 STRANGE = 0.8
 #: A sentence whose two nearest profiles are closer than this follows the clear sentences of its record.
@@ -102,19 +104,19 @@ def _grams(word: str) -> tuple[str, ...]:
 
 
 def ranked(words: list[str]) -> list[str]:
-    """N-grams from the most frequent on; ties go to the longer, then in order of letters."""
-    counts: Counter[str] = Counter()
-    for w in words:
-        counts.update(_grams(w))
-    return [g for g, _ in sorted(counts.items(), key=lambda x: (-x[1], -len(x[0]), x[0]))]
+    """N-grams from the most frequent on; ties stay in order of first occurrence."""
+    counts = Counter(chain.from_iterable(map(_grams, words)))
+    return [g for g, _ in sorted(counts.items(), key=itemgetter(1), reverse=True)]
 
 
 @dataclass(frozen=True)
 class Profiles:
-    """Ranks of n-grams by language: ``place[gram]`` has one rank per language, PROFILE_SIZE where it is out of the profile."""
+    """Ranks of n-grams by language: row ``row[gram]`` of ``place`` has one rank per language, PROFILE_SIZE where it is out of the
+    profile; row 0 is that of a gram in no profile."""
 
     langs: tuple[str, ...]
-    place: dict[str, np.ndarray]
+    row: dict[str, int]
+    place: np.ndarray
 
     @classmethod
     def fit(cls, samples: list[tuple[str, str]]) -> Profiles:
@@ -124,11 +126,12 @@ class Profiles:
             if lang and text:
                 words.setdefault(lang, []).extend(w.lower() for w in _WORD.findall(text))
         langs = tuple(sorted(words))
-        place: dict[str, np.ndarray] = {}
-        for k, lang in enumerate(langs):
-            for r, g in enumerate(ranked(words[lang])[:PROFILE_SIZE]):
-                place.setdefault(g, np.full(len(langs), PROFILE_SIZE, np.int32))[k] = r
-        return cls(langs, place)
+        profiles = [ranked(words[lang])[:PROFILE_SIZE] for lang in langs]
+        row = {g: i for i, g in enumerate(dict.fromkeys(chain.from_iterable(profiles)), 1)}
+        place = np.full((len(row) + 1, len(langs)), PROFILE_SIZE, np.int32)
+        for k, profile in enumerate(profiles):
+            place[[row[g] for g in profile], k] = np.arange(len(profile))
+        return cls(langs, row, place)
 
     def judge(self, text: str) -> list[tuple[str, str, float, bool]]:
         """(sentence, language, confidence, whole) for each sentence of a text; '' where no profile is near.
@@ -156,8 +159,8 @@ class Profiles:
     def distances(self, words: list[str]) -> np.ndarray:
         """Out-of-place distance to each profile as a share of the greatest possible."""
         grams = ranked(words)[:PROFILE_SIZE]
-        nowhere = np.full(len(self.langs), PROFILE_SIZE, np.int32)
-        place = np.array([self.place.get(g, nowhere) for g in grams])
+        row = self.row
+        place = self.place[[row.get(g, 0) for g in grams]]
         own = np.arange(len(grams), dtype=np.int32)[:, None] * PROFILE_SIZE // max(1, len(grams))
         away = np.where(place < PROFILE_SIZE, np.abs(place - own), PROFILE_SIZE)
         return away.sum(axis=0) / (PROFILE_SIZE * max(1, len(grams)))
