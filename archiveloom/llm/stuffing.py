@@ -21,7 +21,7 @@ from archiveloom.session import settle, spread
 
 BLOCK = 480
 #: A page is flagged when its redundant blocks compress to less than this part of the usual ratio.
-REDUNDANT = 1.0
+REDUNDANT = 0.92
 #: Texts from which a ratio is taken as usual.
 ENOUGH = 30
 #: Words in a window of repetition; a run of more letters than LONGEST is no word.
@@ -30,6 +30,7 @@ WINDOW, LONGEST = 40, 40
 VARIED, VARIED_PROSE = 0.63, 0.42
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\]>]+", re.I)
+_LINK_LINE = re.compile(r"(?m)^[^\n.;!?]{0,60}(?:https?://|www\.)\S+[^\n.;!?]{0,10}$", re.I)
 _TAG = re.compile(r"(?<!\w)#[^\W\d]\w*")
 _WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
 _DIGIT = re.compile(r"\d")
@@ -37,15 +38,18 @@ _END = re.compile(r"(?<=[.!?;…])[\"'»”)\]]*\s+|\n\s*\n|\n(?=\s*(?:[-*•–
 
 
 def block_ratio(text: str) -> float:
-    """Compression ratio (bytes after by before; digits and links masked) of the block at the character-weighted
+    """Compression ratio (bytes after, with digits, links and their labels masked, by bytes before) of the block at the character-weighted
     three-tenths point: as much of the text as that is at least so redundant."""
-    masked = _DIGIT.sub("0", _URL.sub("http://0", text.lower()))
-    n = max(1, round(len(masked) / BLOCK))
-    step = -(-len(masked) // n)
+    n = max(1, round(len(text) / BLOCK))
+    step = -(-len(text) // n)
     seen = []
-    for i in range(0, len(masked), step):
-        raw = masked[i : i + step].encode()
-        seen.append((len(zlib.compress(raw, 6)) / len(raw), len(raw)))
+    for i in range(0, len(text), step):
+        block = text[i : i + step]
+        size = len(block.encode())
+        block = block.lower()
+        if "http" in block or "www." in block:
+            block = _URL.sub("http://0", _LINK_LINE.sub("http://0", block))
+        seen.append((len(zlib.compress(_DIGIT.sub("0", block).encode(), 6)) / size, size))
     seen.sort()
     part, so_far = sum(k for _, k in seen) * 0.3, 0
     for ratio, k in seen:
