@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from archiveloom.operators import chunking as C
 from archiveloom.operators import providers as P
 from archiveloom.plans.registry import query, table
-from archiveloom.plans.text_queries import MARKED_SENTS, SENTS, SENTS3, SPACE, docs, stop_words
+from archiveloom.plans.text_queries import MARKED_SENTS, SENTS, SENTS3, SPACE, STRIP, docs, stop_words
 
 
 def _distances_sql(pairs: bool) -> str:
@@ -211,12 +211,22 @@ def chunks_combined(spark, folder):
     return _report(C.chunk_semantic(rows))
 
 
-@query()
+@query(
+    rf'''
+WITH l AS (SELECT qid AS source_id, list_transform(string_split('1. ' || text, chr(10)), lambda x: regexp_replace(x, {STRIP})) AS l FROM qa_queries WHERE text IS NOT NULL),
+q AS (SELECT source_id, list_filter(list_transform(list_filter(l, lambda x: x LIKE '%?'), lambda x: regexp_replace(regexp_replace(x, '^\d+[).\s]', ''), {STRIP})), lambda x: x <> '')[:2] AS q FROM l),
+n AS (SELECT source_id, unnest(range(len(q))) AS nth, unnest(q) AS question FROM q)
+SELECT md5(source_id || chr(1) || nth::VARCHAR || chr(1) || question) AS qid, source_id, question FROM n'''
+)
 def generated_questions(spark, folder):
     asked = table(spark, folder, "qa_queries").where("text is not null").select("qid", F.concat(F.lit("1. "), F.col("text")).alias("text"))
     return P.questions(asked.withColumnRenamed("qid", "source_id"), "source_id", "text")
 
 
-@query()
+@query(
+    rf'''
+WITH l AS (SELECT doc_id, string_split(regexp_replace(string_split(text, ':' || chr(10))[-1], {STRIP}), chr(10)) AS l FROM documents WHERE text IS NOT NULL)
+SELECT doc_id, list_filter(list_transform(l, lambda x: regexp_replace(regexp_replace(x, '^\d+[).\s]', ''), {STRIP})), lambda x: x <> '')[1] AS topic FROM l'''
+)
 def topic_tags(spark, folder):
     return docs(spark, folder).select("doc_id", P.topic_tag(F.col("text")).alias("topic"))

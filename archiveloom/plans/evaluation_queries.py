@@ -117,7 +117,18 @@ def maxsim_scores(spark, folder):
     return groups.select("g", F.round(S.maxsim(q, F.col("vs")), 6).alias("score"))
 
 
-@query()
+@query(
+    rf'''
+WITH t AS (SELECT 'q' AS side, qid AS id, text FROM qa_queries WHERE text IS NOT NULL AND {HEX_20} UNION ALL SELECT 'c', node_id, min(text) FROM qa_corpus WHERE text IS NOT NULL GROUP BY node_id),
+w AS (SELECT side, id, ('0x' || substr(md5(w), 1, 4))::INT AS h FROM (SELECT side, id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM t)),
+v AS (SELECT side, id, h % 64 AS dim, sum(1 - 2 * ((h // 64) % 2))::BIGINT AS v FROM w GROUP BY ALL),
+n AS (SELECT side, id, sum(v * v)::DOUBLE AS q FROM v GROUP BY ALL),
+d AS (SELECT a.id AS qid, b.id AS node_id, sum(a.v * b.v)::DOUBLE AS dot FROM v a JOIN v b ON a.side = 'q' AND b.side = 'c' AND a.dim = b.dim GROUP BY ALL),
+s AS (SELECT q.id AS qid, c.id AS node_id, round(CASE WHEN coalesce(nq.q, 0) * coalesce(nc.q, 0) > 0 THEN coalesce(dot, 0) / sqrt(nq.q * nc.q) ELSE 0 END, 9) AS score
+    FROM t q JOIN t c ON q.side = 'q' AND c.side = 'c' LEFT JOIN n nq ON nq.side = 'q' AND nq.id = q.id LEFT JOIN n nc ON nc.side = 'c' AND nc.id = c.id LEFT JOIN d ON d.qid = q.id AND d.node_id = c.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id)::INT AS rank FROM s)
+SELECT qid, node_id, round(score, 6) AS score, rank FROM r WHERE rank <= 10'''
+)
 def dense_text_topk(spark, folder):
     """Dense retrieval over embedded texts (the default hashed embedder)."""
     from archiveloom.functions.vectors import embed
