@@ -11,6 +11,7 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -40,6 +41,11 @@ _BREAKS = [
 _ACCENT = re.compile(r"\\[\"'`^~=.]\s?(?:\{\\?([A-Za-z])\}|\\?([A-Za-z]))")
 _MARK = re.compile(r"\s*(?:[-–—•*·▪◦‣+]+\s+|[([]?(?:\d{1,3}|[A-Za-z]|[ivxlc]{1,5})[.)\]]\s+|\[\d+\]\s)")
 _WORD = re.compile(r"[^\W\d_]+")
+#: What a row of a table must hold for a look at its cells.
+_CELLS = re.compile(r"[|\t&…]|\s\s|;.*;|\.\.\.\.|\s\.\s\.")
+_ALNUM = re.compile(r"[^\W_]+")
+_DIGIT = re.compile(r"\d")
+_NO_WORD = re.compile(r"\W")
 _LEADER = re.compile(r"\w.*?(?:\.{4,}|(?:\s\.){3,}|…{2,})\s*\S")
 _VOWEL = re.compile(r"[aeiouyàâäáãåæèéêëìíîïòóôöõøœùúûüýÿаеёиоуыэюя]", re.I)
 _CLEAN = re.compile(r"[^\W\d_]{2,}(?:[-'’./][^\W\d_]+)*|[(]?\d+(?:[.,:/-]\d+)*%?[)]?|[-–—.…|]+|n/?a")
@@ -60,6 +66,7 @@ def lines_of(text: str) -> list[str]:
     return text.split("\n")
 
 
+@lru_cache(maxsize=200_000)
 def odd_token(t: str) -> bool:
     """No word, figure or ordinary abbreviation: letters without a vowel, marks inside of letters, endless runs."""
     core = t.strip(".,;:!?()[]{}\"'«»“”…*_|-–—/\\&%$€£°")
@@ -95,14 +102,20 @@ def line_kinds(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[
     kinds = []
     for line in lines:
         tokens = line.split()
-        words = [w for w in _WORD.findall(line) if len(w) > 1]
-        letters = sum(c.isalpha() for c in line)
+        found = _WORD.findall(line)
         visible = len("".join(tokens))
+        known = sum(map(common.__contains__, map(str.lower, found)))
+        n = cells(line) if _CELLS.search(line) else 0
+        letters = sum(map(len, found))
+        if not n and known >= 0.25 * len(tokens) and 3.5 * len(tokens) <= visible <= 12 * len(tokens) and letters >= 0.7 * visible:
+            # words of usual length with many common ones among them can't be junk
+            kinds.append("list" if _MARK.match(line) else "prose" if _ENDED.search(line) or sum(len(w) > 1 for w in found) > 12 else "")
+            continue
         odd = sum(len(t) for t in tokens if odd_token(t))
-        brief = sum(len(re.sub(r"\W", "", t)) <= 2 for t in tokens)
-        known = sum(w.lower() in common for w in _WORD.findall(line))
-        clean = sum(len(t) for t in tokens if _CLEAN.fullmatch(t.strip(",;:!?&|\"'«»“”*_•\\")))
-        if (n := cells(line)) and (clean + line.count("|") + line.count("&") >= 0.6 * visible or _TABLE_CELL.fullmatch(line)):
+        brief = sum(len(_NO_WORD.sub("", t)) <= 2 for t in tokens)
+        words = [w for w in found if len(w) > 1]
+        clean = sum(len(t) for t in tokens if _CLEAN.fullmatch(t.strip(",;:!?&|\"'«»“”*_•\\"))) if n else 0
+        if n and (clean + line.count("|") + line.count("&") >= 0.6 * visible or _TABLE_CELL.fullmatch(line)):
             kind = "table"
         elif n and not letters:
             kind = "junk" if not line.strip(" |-:+=") == "" else "table"
@@ -149,19 +162,21 @@ def statistics(text: str, common: frozenset[str]) -> list[float]:
     """The values named in STATS. A text without words or lines has zeros."""
     lines = [x for x in lines_of(text) if x.strip()]
     tokens = text.split()
-    visible = len("".join(tokens)) or 1
+    visible = len("".join(tokens))
     words = _WORD.findall(text)
     n = len(lines) or 1
+    if not visible:
+        return [0.0] * len(STATS)
     return [
         float(len(words)),
         sum(map(len, words)) / max(1, len(words)),
-        sum(not c.isalnum() and not c.isspace() for c in text) / visible,
+        (visible - sum(map(len, _ALNUM.findall(text)))) / visible,
         sum(bool(_ENDED.search(x)) for x in lines) / n,
-        sum(w.lower() in common for w in words) / max(1, len(words)),
-        sum(c.isdigit() for c in text) / visible,
+        sum(map(common.__contains__, map(str.lower, words))) / max(1, len(words)),
+        len(_DIGIT.findall(text)) / visible,
         math.log1p(sum(map(len, lines)) / n),
         sum(bool(_MARK.match(x)) for x in lines) / n,
-        min(8.0, sum(map(cells, lines)) / n),
+        min(8.0, sum(cells(x) for x in lines if _CELLS.search(x)) / n),
         sum(len(t) for t in tokens if odd_token(t)) / visible,
     ]
 
