@@ -134,3 +134,44 @@ def test_sentences_overlap(spark):
     got = [r["chunk"] for r in C.chunk_sentences(df, size=25, overlap=8).orderBy("chunk_no").collect()]
     assert got == ["One two. Three.", "Three. Four five six.", "Seven. Eight nine ten."]
     assert [r["chunk"] for r in C.chunk_sentences(df, size=25).orderBy("chunk_no").collect()] == ["One two. Three.", "Four five six. Seven.", "Eight nine ten."]
+
+
+def test_chain_against_whole_texts():
+    """The incremental vectors give the cuts that embedding every growing text anew gives."""
+    rng = np.random.default_rng(4)
+    words = "wells pumps water boats ropes lamps roads hills rain port".split()
+    for _ in range(60):
+        s = [" ".join(rng.choice(words[3 * int(rng.integers(3)) :], int(rng.integers(2, 14)))) for _ in range(int(rng.integers(2, 9)))]
+        gaps, chunks, start = [], [], 0
+        for i in range(len(s) - 1):
+            a, b = hashed([". ".join(s[start : i + 1])])[0], hashed([" ".join(s[i + 1 : i + 3])])[0]
+            size = ((a * a).sum() * (b * b).sum()) ** 0.5
+            gap = 1 - (a @ b / size if size else 0)
+            gaps.append(gap)
+            if gap > 0.3:
+                text = ". ".join(s[start : i + 1]) + ". "
+                if len(text) >= C.SHORT:
+                    chunks.append(text)
+                elif chunks and gaps[i - 1] < gap:
+                    chunks[-1] += text
+                else:
+                    continue
+                start = i + 1
+        text = ". ".join(s[start:]) + ". "
+        if len(text) < C.SHORT and chunks:
+            chunks[-1] += text
+        else:
+            chunks.append(text)
+        assert C.chain(s, hashed, 0.3) == chunks
+
+
+def test_cap_on_every_group(spark):
+    rng = np.random.default_rng(7)
+    words = "wells pumps water boats ropes lamps roads hills rain port".split()
+    text = "".join(" ".join(rng.choice(words, 12)) + ".\n" for _ in range(80))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    sents = [x for x in text.split(".\n") if x]
+    capped = [r["chunk"] for r in C.chunk_semantic_capped(df, limit=400, cap="all").orderBy("chunk_no").collect()]
+    assert all(len(c) <= 400 or sum(s in c for s in sents) <= 2 for c in capped)
+    free = [r["chunk"] for r in C.chunk_semantic_capped(df, limit=10**6).orderBy("chunk_no").collect()]
+    assert free == [r["chunk"] for r in C.chunk_semantic(df, p=90).orderBy("chunk_no").collect()]
