@@ -2,8 +2,9 @@
 
 One-versus-rest linear classifiers on hashed word n-grams, with L1 so that words common to all subjects weigh nothing.  They start
 from the labelled seed texts and are refitted on weak labels: a sentence without a subject of its own takes those of its
-section (the chunk it stands in), which teaches the terms that no seed holds.  Thresholds are calibrated per subject on
-the scores of all training sentences.  The corpus is then scored whole.
+section (the chunk it stands in), which teaches the terms that no seed holds.  Each round counts n-grams by subject over all
+sections, and the thresholds are calibrated on the scores of all sentences; only the gradient runs on a bounded sample, to which
+sections are added that hold speaking n-grams the sample lacks.  The corpus is then scored whole.
 """
 
 from __future__ import annotations
@@ -23,10 +24,12 @@ from archiveloom.session import settle, spread
 
 BUCKETS = 1 << 16
 HEAD = 5
-#: Most sections that lend weak labels; they are drawn by a hash of their key.
+#: Most stretches that the gradient is first run on, drawn by a hash of their key; as many again may be added for n-grams they lack.
 TRAINING_SECTIONS = 6000
-#: Longer texts aren't drawn (they are scored like all others), so that the sample's size is bounded too.
-LONGEST_SECTION = 20_000
+#: Sentences of a stretch at most (a section, or a part of a long one), so that the sample's size is bounded too.
+STRETCH = 250
+#: Stretches that a speaking n-gram shall have in the sample, where so many hold it.
+FEW = 4
 #: Probability from which a sentence counts as labelled, round by round: the seeds alone speak first, then looser.
 ROUNDS = (0.5, 0.3, 0.2, 0.2, 0.2, 0.2)
 #: Share of a section's sentences from which it lends its subject to the others.
@@ -97,58 +100,231 @@ class SubjectModel:
         self.bias = b
 
     @classmethod
-    def fit(cls, seeds: list[tuple[str, str]], sections: list[str]) -> SubjectModel:
-        """From labelled (subject, text) seeds and unlabelled section texts."""
+    def fit(cls, seeds: list[tuple[str, str]], sections: list[str] | Sections) -> SubjectModel:
+        """From labelled (subject, text) seeds and unlabelled sections: their texts, or the passes over them."""
         subjects = sorted({s for s, t in seeds if s and t})
         model = cls(subjects)
         known = [(subjects.index(s), buckets(w)) for s, t in seeds if s and t for w in sentence_words(t)]
         if not known:
             return model
+        every = sections if isinstance(sections, Sections) else Sections([[buckets(w) for w in sentence_words(t)] for t in sections])
         sx, sy = [x for _, x in known], np.eye(len(subjects))[[k for k, _ in known]]
-        own, qx = [], []
-        for i, text in enumerate(sections):
-            for w in sentence_words(text):
-                own.append(i)
-                qx.append(buckets(w))
-        own_at = np.array(own, dtype=np.int64)
-        size = np.maximum(1, np.bincount(own_at, minlength=len(sections)))
-        # n-grams by section, seeds being sections of one known subject
-        n_seed = len(sx)
-        pair = np.unique(np.repeat(np.concatenate([np.arange(n_seed), own_at + n_seed]), [len(x) for x in sx + qx]) * BUCKETS + np.concatenate(sx + qx))
-        section, gram = pair // BUCKETS, pair % BUCKETS
-
-        def telling(of: np.ndarray) -> np.ndarray:
-            known_pairs = section < len(of)
-            g, who = gram[known_pairs], of[section[known_pairs]]
-            held, usual = np.bincount(g, minlength=BUCKETS)[:, None] + PRIOR, of.mean(0)
-            share = np.stack([np.bincount(g, who[:, k], BUCKETS) for k in range(len(subjects))], 1) + PRIOR * usual
-            return share / held >= usual + TELLING * (1 - usual)
-
-        model._descend(sx, sy, np.ones(len(sx)), 1e-4, telling(sy))
-        for sure in ROUNDS if qx else ():
-            hit = (model.probabilities(qx) > sure).astype(float)
-            share = np.stack([np.bincount(own_at, hit[:, k], len(sections)) for k in range(len(subjects))], 1) / size[:, None]
-            lent = np.minimum(1, GENEROUS * share) * (share >= LENDING)
+        # seeds are sections of one known subject
+        seeded = tally([[x] for x in sx], sy)
+        model._descend(sx, sy, np.ones(len(sx)), 1e-4, telling(*seeded))
+        drawn = every.draw()
+        for sure in ROUNDS if drawn else ():
+            speaks = telling(*(a + b for a, b in zip(seeded, every.tally(model, sure))))
+            drawn += every.holding(speaks.any(1), drawn)
+            qx, own_at = flat(drawn)
+            if not qx:
+                break
+            hit, lent = lending(model, drawn, sure)
             bare = hit.sum(1) == 0
             target = np.where(bare[:, None], lent[own_at], hit)
-            model._descend(sx + qx, np.concatenate([sy, target]), np.concatenate([np.ones(len(sx)), np.where(bare, 0.7, 1.0) * np.minimum(1, WEIGHTY / size[own_at])]), L1, telling(np.concatenate([sy, lent > 0])))
-        model.thresholds = np.array([_valley(p) for p in model.probabilities(sx + qx).T])
+            weight = np.where(bare, 0.7, 1.0) * np.minimum(1, WEIGHTY / np.array(every.sizes)[own_at])
+            model._descend(sx + qx, np.concatenate([sy, target]), np.concatenate([np.ones(len(sx)), weight]), L1, speaks)
+        model.thresholds = np.array([_valley(*h) for h in (histogram(model, [[x] for x in sx]) + every.histogram(model))])
         return model
 
 
-def _valley(p: np.ndarray) -> float:
+def flat(sections: list[list[np.ndarray]]) -> tuple[list[np.ndarray], np.ndarray]:
+    """All sentences, and the section of each."""
+    return [x for sents in sections for x in sents], np.repeat(np.arange(len(sections)), [len(sents) for sents in sections])
+
+
+def lending(model: SubjectModel, sections: list[list[np.ndarray]], sure: float) -> tuple[np.ndarray, np.ndarray]:
+    """The sentences' subjects, and what each section lends."""
+    sents, own_at = flat(sections)
+    hit = (model.probabilities(sents) > sure).astype(float)
+    size = np.maximum(1, np.bincount(own_at, minlength=len(sections)))
+    share = np.stack([np.bincount(own_at, hit[:, k], len(sections)) for k in range(len(model.subjects))], 1) / size[:, None]
+    return hit, np.minimum(1, GENEROUS * share) * (share >= LENDING)
+
+
+def tally(sections: list[list[np.ndarray]], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """Sections by n-gram, by n-gram and subject, by subject, and in all; ``of`` (sections x subjects) says what they treat."""
+    sents, own_at = flat(sections)
+    pair = np.unique(np.repeat(own_at, [len(x) for x in sents]) * BUCKETS + np.concatenate(sents)) if sents else np.zeros(0, np.int64)
+    section, gram = pair // BUCKETS, pair % BUCKETS
+    by = np.stack([np.bincount(gram, of[section, k], BUCKETS) for k in range(of.shape[1])], 1)
+    return np.bincount(gram, minlength=BUCKETS), by, of.sum(0), len(sections)
+
+
+def telling(held: np.ndarray, by: np.ndarray, treat: np.ndarray, n: int) -> np.ndarray:
+    usual = treat / n
+    return (by + PRIOR * usual) / (held[:, None] + PRIOR) >= usual + TELLING * (1 - usual)
+
+
+#: Thresholds that are tried, and the unit of the sums, which are whole numbers so that they are the same in any order.
+TRIED = np.arange(0.2, 0.61, 0.02)
+UNIT = 10**6
+
+
+def histogram(model: SubjectModel, sections: list[list[np.ndarray]]) -> np.ndarray:
+    """Per subject the sentences between two thresholds and the sum of their probabilities (subjects x 2 x bins). A section weighs as
+    much as WEIGHTY sentences at most."""
+    sents, own_at = flat(sections)
+    p = model.probabilities(sents)
+    size = np.array([max(1, len(x)) for x in sections])
+    weight = np.minimum(1, WEIGHTY / size[own_at]) if sents else np.zeros(0)
+    at = np.searchsorted(TRIED, p)
+    bins = lambda k, w: np.bincount(at[:, k], np.round(w * UNIT), len(TRIED) + 1)
+    return np.stack([np.stack([bins(k, weight), bins(k, weight * p[:, k])]) for k in range(len(model.subjects))])
+
+
+def _valley(n: np.ndarray, total: np.ndarray) -> float:
     """The threshold between 0.2 and 0.6 that parts the scores best (greatest variance between the two classes)."""
     best, at = -1.0, 0.5
-    for t in np.arange(0.2, 0.61, 0.02):
-        above = p > t
-        share = above.mean()
-        if 0 < share < 1:
-            spread_ = share * (1 - share) * (p[above].mean() - p[~above].mean()) ** 2
+    for i, t in enumerate(TRIED, 1):
+        above, below = n[i:].sum(), n[:i].sum()
+        if above and below:
+            share = above / (above + below)
+            spread_ = share * (1 - share) * (total[i:].sum() / above - total[:i].sum() / below) ** 2
             if spread_ > best:
                 best, at = spread_, float(t)
     return at
 
 
+class Sections:
+    """Unlabelled sections that are all held here; all are drawn."""
+
+    def __init__(self, sections: list[list[np.ndarray]]):
+        self.sections = sections
+        #: Sentences of the section of each stretch that was drawn.
+        self.sizes = [max(1, len(x)) for x in sections]
+
+    def draw(self) -> list[list[np.ndarray]]:
+        """The sample that the gradient is run on."""
+        return list(self.sections)
+
+    def holding(self, speaks: np.ndarray, drawn: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        """Further sections for n-grams that the sample lacks."""
+        return []
+
+    def tally(self, model: SubjectModel, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        return tally(self.sections, (lending(model, self.sections, sure)[1] > 0).astype(float))
+
+    def histogram(self, model: SubjectModel) -> np.ndarray:
+        return histogram(model, self.sections)
+
+
+def _packed(sents: list[np.ndarray]) -> tuple[bytes, bytes]:
+    """The lengths of sentences and their buckets (two bytes each)."""
+    return np.array([len(x) for x in sents], np.int32).tobytes(), np.concatenate([*sents, np.zeros(0, np.int64)]).astype(np.uint16).tobytes()
+
+
+def _unpacked(lens: bytes, grams: bytes) -> list[np.ndarray]:
+    n = np.frombuffer(lens, np.int32)
+    return np.split(np.frombuffer(grams, np.uint16).astype(np.int64), np.cumsum(n)[:-1]) if len(n) else []
+
+
+class SpreadSections(Sections):
+    """Sections in a frame (node_id, lens, grams): sums come to the driver, of a size set by BUCKETS and the subjects, and the sample."""
+
+    def __init__(self, rows: DataFrame, most: int):
+        self.rows, self.most, self.room = rows, most, most
+        self.sizes: list[int] = []
+        self.taken: set[tuple] = set()
+        self.held = np.zeros(BUCKETS, np.int64)
+
+    def _stretches(self) -> DataFrame:
+        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                out = []
+                for node, lens, grams in zip(pdf["node_id"], pdf["lens"], pdf["grams"]):
+                    sents = _unpacked(lens, grams)
+                    out += [(node, i, len(sents), *_packed(sents[i : i + STRETCH])) for i in range(0, max(1, len(sents)), STRETCH)]
+                yield pd.DataFrame(out, columns=["node_id", "part", "size", "lens", "grams"])
+
+        cut_ = self.rows.select("node_id", "lens", "grams").mapInPandas(cut, "node_id string, part int, size int, lens binary, grams binary")
+        return cut_.withColumn("h", F.xxhash64("node_id") + F.col("part"))
+
+    def _taken(self, found: list) -> list[list[np.ndarray]]:
+        self.taken |= {(r["node_id"], r["part"]) for r in found}
+        self.sizes += [max(1, r["size"]) for r in found]
+        return [_unpacked(r["lens"], r["grams"]) for r in found]
+
+    def draw(self) -> list[list[np.ndarray]]:
+        return self._taken(self._stretches().orderBy("h", "node_id", "part").limit(self.most).collect())
+
+    def holding(self, speaks: np.ndarray, drawn: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+        """Stretches for the n-grams that speak and of which the sample has fewer than FEW, those first that serve most sections."""
+        has = tally(drawn, np.zeros((len(drawn), 1)))[0]
+        wanted = speaks & (has < np.minimum(FEW, self.held))
+        if not self.room or not wanted.any():
+            return []
+        shared = self.rows.sparkSession.sparkContext.broadcast((wanted, self.taken))
+
+        def find(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            wanted, taken = shared.value
+            best: dict[tuple, tuple] = {}
+            for pdf in batches:
+                for node, part, grams, h in zip(pdf["node_id"], pdf["part"], pdf["grams"], pdf["h"]):
+                    if (node, part) not in taken:
+                        own = np.unique(np.frombuffer(grams, np.uint16))
+                        for g in own[wanted[own]].tolist():
+                            slot, me = (g, h % FEW), (h, node, part)
+                            if slot not in best or me < best[slot]:
+                                best[slot] = me
+            yield pd.DataFrame([(*slot, *me) for slot, me in best.items()], columns=["gram", "slot", "h", "node_id", "part"])
+
+        least = self._stretches().mapInPandas(find, "gram int, slot int, h long, node_id string, part int").groupBy("gram", "slot").agg(F.min(F.struct("h", "node_id", "part")).alias("x"))
+        worth: dict[tuple, int] = {}
+        for r in least.select("gram", "x.*").collect():  # FEW rows per bucket at most
+            key = r["node_id"], r["part"]
+            worth[key] = worth.get(key, 0) + int(self.held[r["gram"]])
+        chosen = set(sorted(worth, key=lambda x: (-worth[x], x))[: self.room])
+        given = self.rows.sparkSession.sparkContext.broadcast(chosen)
+
+        def take(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for pdf in batches:
+                yield pdf[[x in given.value for x in zip(pdf["node_id"], pdf["part"])]]
+
+        found = sorted(self._stretches().mapInPandas(take, "node_id string, part int, size int, lens binary, grams binary, h long").collect(), key=lambda r: (r["h"], r["node_id"], r["part"]))
+        self.room -= len(found)
+        return self._taken(found)
+
+    def tally(self, model: SubjectModel, sure: float) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+        shared = self.rows.sparkSession.sparkContext.broadcast((model.subjects, model.weights, model.bias))
+        kinds = [f"k{k}" for k in range(len(model.subjects))]
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own = SubjectModel(*shared.value)
+            sums: list = [0, 0, 0, 0]
+            for pdf in batches:
+                sections = [_unpacked(*x) for x in zip(pdf["lens"], pdf["grams"])]
+                sums = [a + b for a, b in zip(sums, tally(sections, (lending(own, sections, sure)[1] > 0).astype(float)))]
+            held, by, treat, n = sums
+            if n:
+                used = np.flatnonzero(held)
+                # the row of no n-gram has the sections in all
+                body = np.concatenate([np.column_stack([used, held[used], by[used]]), [[-1, n, *treat]]]).astype(np.int64)
+                yield pd.DataFrame(body, columns=["gram", "held", *kinds])
+
+        made = self.rows.select("lens", "grams").mapInPandas(count, "gram long, held long, " + ", ".join(f"{k} long" for k in kinds))
+        got = made.groupBy("gram").agg(*[F.sum(c).alias(c) for c in ("held", *kinds)]).toArrow().to_pandas().to_numpy(dtype=np.int64)  # a row per bucket
+        full = np.zeros((BUCKETS + 1, len(kinds) + 1), np.int64)
+        full[got[:, 0]] = got[:, 1:]
+        self.held = full[:BUCKETS, 0]
+        return self.held, full[:BUCKETS, 1:], full[-1, 1:], int(full[-1, 0])
+
+    def histogram(self, model: SubjectModel) -> np.ndarray:
+        shared = self.rows.sparkSession.sparkContext.broadcast((model.subjects, model.weights, model.bias))
+        shape = (len(model.subjects), 2, len(TRIED) + 1)
+
+        def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            own, total = SubjectModel(*shared.value), np.zeros(shape)
+            for pdf in batches:
+                total += histogram(own, [_unpacked(*x) for x in zip(pdf["lens"], pdf["grams"])])
+            yield pd.DataFrame({"at": np.arange(total.size), "n": total.ravel().astype(np.int64)})
+
+        out = np.zeros(shape).ravel()
+        for r in self.rows.select("lens", "grams").mapInPandas(count, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
+            out[r["at"]] = r["n"]
+        return out.reshape(shape)
+
+
 SCORED = "node_id string, n_chars int, subject string, share double, confidence double"
 
 
@@ -158,36 +334,43 @@ def subject_scores(df: DataFrame, seeds: DataFrame, key: str = "node_id", text:
     with a null subject.
 
     Repeated keys count once (the least text of the key); null keys and null texts give no row; empty texts treat nothing. Other
-    columns are ignored. ``sections`` bounds the texts that the classifiers are fitted on; all texts are scored.
+    columns are ignored. ``sections`` bounds the sample that the gradient is run on (as many again may join it for n-grams it lacks);
+    n-grams are counted, thresholds calibrated and subjects scored on all texts.
     """
     once = settle(df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).groupBy(F.col(key).alias("node_id")).agg(F.min(text).alias("body")))
     labelled = [(r["subject"], r["text"]) for r in seeds.select("subject", "text").collect()]
-    drawn = once.where(F.length("body") <= LONGEST_SECTION).orderBy(F.xxhash64("node_id"), "node_id").limit(sections)
-    model = SubjectModel.fit(labelled, [r["body"] for r in drawn.collect()])
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            made = [(node, len(body), *_packed([buckets(w) for w in sentence_words(body)])) for node, body in zip(pdf["node_id"], pdf["body"])]
+            yield pd.DataFrame(made, columns=["node_id", "n_chars", "lens", "grams"])
+
+    rows = settle(spread(once).mapInPandas(read, "node_id string, n_chars int, lens binary, grams binary"))
+    model = SubjectModel.fit(labelled, SpreadSections(rows, sections))
     shared = df.sparkSession.sparkContext.broadcast((model.subjects, model.weights, model.bias, model.thresholds))
 
     def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         own = SubjectModel(*shared.value)
         for pdf in batches:
             sents, lengths = [], []
-            for body in pdf["body"]:
-                x = [buckets(w) for w in sentence_words(body)]
+            for packed in zip(pdf["lens"], pdf["grams"]):
+                x = _unpacked(*packed)
                 sents += x
                 lengths.append(len(x))
             p = own.probabilities(sents)
             out, start = [], 0
-            for node, body, n in zip(pdf["node_id"], pdf["body"], lengths):
+            for node, n_chars, n in zip(pdf["node_id"], pdf["n_chars"], lengths):
                 part = p[start : start + n]
                 start += n
                 rows = []
                 for k, subject in enumerate(own.subjects):
                     hit = part[:, k] > own.thresholds[k]
                     if n and hit.any():
-                        rows.append((node, len(body), subject, float(hit.mean()), float(part[hit, k].mean())))
-                out += rows or [(node, len(body), None, 0.0, 0.0)]
+                        rows.append((node, n_chars, subject, float(hit.mean()), float(part[hit, k].mean())))
+                out += rows or [(node, n_chars, None, 0.0, 0.0)]
             yield pd.DataFrame(out, columns=["node_id", "n_chars", "subject", "share", "confidence"])
 
-    return spread(once).mapInPandas(score, SCORED)
+    return rows.mapInPandas(score, SCORED)
 
 
 def assigned(scores: DataFrame, least: float = 0.25) -> DataFrame:

@@ -65,3 +65,21 @@ def test_empty(spark):
     assert subject_scores(none, seed).collect() == []
     one = spark.createDataFrame([("a", "The treaty clauses delayed the field visits.")], "node_id string, text string")
     assert [r["subject"] for r in subject_scores(one, seed.limit(0)).collect()] == [None]
+
+
+def test_terms_outside_of_the_sample(spark):
+    """The gradient's sample is a tenth of the texts; n-grams and thresholds come from all, also from a long text."""
+    rows = corpus(300, 5)
+    rng = random.Random(6)
+    # a rare term beside known ones, in few texts and in one long text
+    rare = [(f"r{i}", " ".join(sentence(rng, t, rng.choice(PLAIN)) for _ in range(400 if i == 0 else 4) for t in ("reservoir dams", "desalination membranes")), "water") for i in range(6)]
+    # texts of the rare term with too little else, so that they are found only if it is learnt
+    bare = [(f"b{i}", " ".join(sentence(rng, "desalination membranes" if k == 0 else "weekly notes", rng.choice(PLAIN)) for k in range(3)), "water") for i in range(4)]
+    texts = rows + rare + bare
+    df = spark.createDataFrame([(n, t) for n, t, _ in texts], "node_id string, text string")
+    seed = spark.createDataFrame([(i, s, "en", t) for i, (s, t) in enumerate(seeds())], "seed_id bigint, subject string, lang string, text string")
+    got = {}
+    for r in assigned(subject_scores(df, seed, sections=30)).collect():
+        got.setdefault(r["node_id"], set()).add(r["subject"])
+    assert all(got.get(n) == {"water"} for n, *_ in rare + bare)
+    assert sum(got.get(n, set()) == ({s} if s else set()) for n, _, s in rows) >= 0.97 * len(rows)
