@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from archiveloom.functions.vectors import hashed
 from archiveloom.session import ship, spread
 
 QUERY_BLOCK = 8192
@@ -26,12 +27,13 @@ def _best(rows: DataFrame, k: int) -> DataFrame:
     return rows.withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
 
 
-def _blocks(queries: DataFrame, columns: list[str]) -> Iterator[list]:
+def _blocks(queries: DataFrame, columns: list[str], most: int | None = None) -> Iterator[list]:
     """The query set on the driver, a block at a time."""
+    most = most or QUERY_BLOCK
     block = []
     for row in queries.select(*columns).toLocalIterator():
         block.append(row)
-        if len(block) == QUERY_BLOCK:
+        if len(block) == most:
             yield block
             block = []
     if block:
@@ -174,6 +176,64 @@ def maxsim(query_vectors: Column, text_vectors: Column) -> Column:
     return F.aggregate(query_vectors, F.lit(0.0), lambda acc, q: acc + F.coalesce(best(q), F.lit(0.0)))
 
 
+#: Queries and texts that are held against each other at once, each of several vectors.
+MANY_BLOCK, MANY_STEP = 1024, 128
+
+
+def maxsim_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, skip_self: bool = False) -> DataFrame:
+    """Rows (qid, node_id, score, rank) by late interaction of queries (qid, vecs) with corpus (node_id, vecs), array<array<double>> each. Rows
+    without vectors are left out, as are null vectors; ``skip_self`` leaves out node_id = qid."""
+    spark = corpus.sparkSession
+    ship(spark)
+    there = lambda df, key: df.where(F.col(key).isNotNull()).select(key, F.filter(F.col("vecs").cast("array<array<double>>"), lambda v: v.isNotNull()).alias("vecs")).where("size(vecs) > 0")
+    rows = spread(there(corpus, "node_id"))
+    kinds = queries.schema["qid"].dataType.simpleString(), rows.schema["node_id"].dataType.simpleString()
+
+    def held(block: list) -> DataFrame:
+        given = spark.sparkContext.broadcast((np.array([r["qid"] for r in block], dtype=object), [np.array(r["vecs"], dtype=np.float64) for r in block]))
+
+        def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            qids, asked = given.value
+            starts = lambda xs: np.cumsum([0, *map(len, xs[:-1])])
+            for pdf in batches:
+                ids, texts = pdf["node_id"].to_numpy(), [np.stack(v) for v in pdf["vecs"]]
+                for q0 in range(0, len(asked), MANY_STEP):
+                    own = asked[q0 : q0 + MANY_STEP]
+                    q, s = np.concatenate(own).T, []
+                    for t0 in range(0, len(texts), MANY_STEP):
+                        some = texts[t0 : t0 + MANY_STEP]
+                        s.append(np.add.reduceat(np.maximum.reduceat(np.concatenate(some) @ q, starts(some), axis=0), starts(own), axis=1))
+                    s = np.concatenate(s) if s else np.zeros((0, len(own)))
+                    if skip_self:
+                        s[ids[:, None] == qids[None, q0 : q0 + MANY_STEP]] = -np.inf
+                    for j, top in enumerate(_local_best(s, ids, k)):
+                        top = top[np.isfinite(s[top, j])]
+                        yield pd.DataFrame({"qid": qids[q0 + j], "node_id": ids[top], "score": np.round(s[top, j], DIGITS)})
+
+        return _best(rows.mapInPandas(score, f"qid {kinds[0]}, node_id {kinds[1]}, score double"), k)
+
+    parts = [held(block) for block in _blocks(there(queries, "qid"), ["qid", "vecs"], MANY_BLOCK)]
+    return reduce(DataFrame.unionByName, parts) if parts else spark.createDataFrame([], f"qid {kinds[0]}, node_id {kinds[1]}, score double, rank int")
+
+
+def maxsim_score(query: Column, text: Column, loader: Callable = lambda: hashed) -> Column:
+    """A reranker by late interaction: :func:`maxsim` of the vectors of the query's words with those of the text's (0 where either has none)."""
+
+    @F.pandas_udf("double")
+    def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        import regex
+
+        word, model = regex.compile(WORDS), loader()
+        for qs, ts in batches:
+            out = []
+            for q, t in zip(qs, ts):
+                a, b = word.findall((q or "").lower()), list(dict.fromkeys(word.findall((t or "").lower())))
+                out.append(float((model(a) @ model(b).T).max(axis=1).sum()) if a and b else 0.0)
+            yield pd.Series(out, index=qs.index)
+
+    return run(query, text)
+
+
 def graph_topk(queries: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
     """Nodes by the number of their edges' entities (src or dst) that the query names: edges (src, dst, node_id), queries (qid, text)."""
     words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(1)))).alias("entity")

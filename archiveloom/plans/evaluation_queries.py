@@ -117,6 +117,37 @@ def maxsim_scores(spark, folder):
     return groups.select("g", F.round(S.maxsim(q, F.col("vs")), 6).alias("score"))
 
 
+@query(
+    """
+WITH v AS (SELECT vec_id // 10 AS g, row_number() OVER () AS i, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL),
+b AS (SELECT q.g AS qid, t.g AS node_id, max(list_inner_product(q.v, t.v)) AS best FROM v q JOIN v t ON q.g % 20 = 0 AND q.g <> t.g GROUP BY q.g, q.i, t.g),
+s AS (SELECT qid, node_id, round(sum(best), 9) AS score FROM b GROUP BY qid, node_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id)::INT AS rank FROM s)
+SELECT qid, node_id, round(score, 6) AS score, rank FROM r WHERE rank <= 3"""
+)
+def maxsim_topk(spark, folder):
+    """Late interaction of the stated query set (groups of ten vectors whose number divides by 20) with every other group."""
+    groups = table(spark, folder, "embeddings").where("embedding is not null").groupBy(F.expr("vec_id div 10").alias("node_id")).agg(F.collect_list("embedding").alias("vecs"))  # ten at most
+    asked = groups.where("node_id % 20 = 0").withColumnRenamed("node_id", "qid")
+    return S.maxsim_topk(asked, groups, 3, skip_self=True).withColumn("score", F.round("score", 6) + 0.0)
+
+
+@query(
+    BM25
+    + rf""", qw AS (SELECT qid, row_number() OVER () AS i, ('0x' || substr(md5(w), 1, 4))::INT AS h FROM (SELECT qid, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}]+')) AS w FROM qa_queries WHERE text IS NOT NULL AND {HEX_20})),
+tw AS (SELECT DISTINCT node_id, ('0x' || substr(md5(term), 1, 4))::INT % 128 AS h FROM tf),
+best AS (SELECT top.qid, top.node_id, any_value(top.score) AS retrieval_score, qw.i, max(CASE WHEN qw.h % 64 <> tw.h % 64 THEN 0 WHEN qw.h % 128 = tw.h THEN 1 ELSE -1 END) AS best
+    FROM top JOIN qw USING (qid) JOIN tw USING (node_id) GROUP BY top.qid, top.node_id, qw.i),
+again AS (SELECT qid, node_id, any_value(retrieval_score) AS retrieval_score, sum(best)::DOUBLE AS score FROM best GROUP BY qid, node_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node_id)::INT AS rank FROM again)
+SELECT qid, node_id, score, rank, round(retrieval_score, 6) AS retrieval_score FROM ranked WHERE rank <= 3"""
+)
+def maxsim_rerank(spark, folder):
+    """The cascade with late interaction as its second stage; the first stage's score is kept."""
+    asked, corpus = _asked(spark, folder), _corpus(spark, folder)
+    return S.rerank(S.bm25_topk(asked, corpus), asked, corpus, S.maxsim_score, keep_score=True).withColumn("retrieval_score", F.round("retrieval_score", 6))
+
+
 @query(
     rf'''
 WITH t AS (SELECT 'q' AS side, qid AS id, text FROM qa_queries WHERE text IS NOT NULL AND {HEX_20} UNION ALL SELECT 'c', node_id, min(text) FROM qa_corpus WHERE text IS NOT NULL GROUP BY node_id),

@@ -108,3 +108,22 @@ def test_reports(spark):
     assert [r["x"] for r in scale] == [10, pytest.approx(7.5), 0] and scale[0]["y"] is None
     wide = R.wide(df, "metric", "stage", "score", [1, 2, 3])
     assert R.long(wide.select("metric", *[F.col(str(i)).alias(f"s{i}") for i in (1, 2, 3)]), "metric", ["s1", "s2", "s3"]).count() == 3
+
+
+def test_maxsim_of_all_queries(spark, monkeypatch):
+    monkeypatch.setattr(S, "MANY_BLOCK", 3)
+    rng = np.random.default_rng(4)
+    texts = {i: rng.integers(-3, 4, (1 + i % 4, 5)).astype(float) for i in range(40)}
+    corpus = spark.createDataFrame([*((i, x.tolist()) for i, x in texts.items()), (900, []), (901, None)], "node_id bigint, vecs array<array<double>>")
+    asked = corpus.where("node_id % 5 = 0").withColumnRenamed("node_id", "qid")
+    got = {(r["qid"], r["rank"]): (r["node_id"], r["score"]) for r in S.maxsim_topk(asked, corpus, 3, skip_self=True).collect()}
+    score = lambda q, t: float((texts[q] @ texts[t].T).max(axis=1).sum())
+    want = {}
+    for q in range(0, 40, 5):
+        for k, t in enumerate(sorted((t for t in texts if t != q), key=lambda t: (-score(q, t), t))[:3], 1):
+            want[q, k] = t, score(q, t)
+    assert got == want
+    assert S.maxsim_topk(asked.limit(0), corpus).collect() == []
+    found = spark.createDataFrame([("q", "a", 2.0, 1), ("q", "b", 1.0, 2)], "qid string, node_id string, score double, rank int")
+    again = S.rerank(found, spark.createDataFrame([("q", "wells of boats")], "qid string, text string"), spark.createDataFrame([("a", "wells"), ("b", "boats of wells")], "node_id string, text string"), S.maxsim_score, keep_score=True)
+    assert [(r["node_id"], r["rank"], r["retrieval_score"]) for r in again.orderBy("rank").collect()] == [("b", 1, 1.0), ("a", 2, 2.0)]
