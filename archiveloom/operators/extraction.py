@@ -60,16 +60,19 @@ def paged_documents(lines: DataFrame, file: str, page: str, pos: str, kind: str,
     return texts.withColumn("nth", first).where("nth = 1").select("file", "page", "pos", "title", F.col("info").alias("text"))
 
 
-def wiki_articles(lines: DataFrame, file: str = "file", line_no: str = "line_no", line: str = "line", last_line: int = 80_000) -> DataFrame:
+def wiki_articles(lines: DataFrame, file: str = "file", line_no: str = "line_no", line: str = "line", last_line: int | None = None) -> DataFrame:
     """Rows (file, article_no, first_line, n_lines, text): a new article begins with the blank line before a first-level heading.
 
-    The look ahead crosses ``last_line`` (counted from 0 within each file), the lines after it don't count. One window per file.
+    Whole files, unless ``last_line`` (counted from 0 within each file) is given: the look ahead crosses it, the lines after it don't
+    count. One window per file.
     """
     w = Window.partitionBy("file").orderBy("line_no")
     rows = lines.select(F.col(file).alias("file"), F.col(line_no).alias("line_no"), F.col(line).alias("line"))
     nth, n = F.row_number().over(w) - 1, F.count("*").over(Window.partitionBy("file"))
     cut = F.lead("line", 1).over(w).isin(" \n", "") & T.is_wiki_title(F.lead("line", 2).over(w)) & (nth < n - 2)
-    rows = rows.withColumn("nth", nth).withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int")).where(F.col("nth") <= last_line)
+    rows = rows.withColumn("nth", nth).withColumn("cut", F.coalesce(cut, F.lit(False)).cast("int"))
+    if last_line is not None:
+        rows = rows.where(F.col("nth") <= last_line)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
     rows = rows.withColumn("article_no", F.coalesce(F.sum("cut").over(before), F.lit(0)).cast("int"))
     ordered = F.array_sort(F.collect_list(F.struct("line_no", "line")))

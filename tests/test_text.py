@@ -91,3 +91,12 @@ def test_corpus_records(spark):
     assert {r["content"][:5] for r in got if r["title"] == "CDP_1.md"} == {"# One", "# Two"}
     kept = X.corpus_records(X.sections(df, "title", "content"), drop_first=False).collect()
     assert {r["title"] for r in kept} == {"CAP_CIRC.md", "CDP_1.md", None}
+
+
+def test_wiki_articles_of_a_long_file(spark):
+    """Lines after the 80,000th count too."""
+    from archiveloom.operators.extraction import wiki_articles
+
+    lines = spark.range(80_010).select(F.lit("f").alias("file"), F.col("id").alias("line_no"), F.when(F.col("id") == 80_004, " = Last = \n").when(F.col("id") == 80_003, " \n").otherwise("x\n").alias("line"))
+    got = sorted((r["article_no"], r["first_line"], r["n_lines"]) for r in wiki_articles(lines).collect())
+    assert sum(n for *_, n in got) == 80_010 and [x[:2] for x in got] == [(0, 0), (1, 80_003)]
