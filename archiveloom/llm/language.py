@@ -172,8 +172,8 @@ SEGMENTS = "rec_no bigint, seg_no int, lang string, confidence double, n_sentenc
 def language_segments(df: DataFrame, samples: DataFrame, key: str = "rec_no", text: str = "content") -> DataFrame:
     """Rows (rec_no, seg_no, lang, confidence, n_sentences, n_chars, segment): the stretches of one language of each record.
 
-    Neighbouring sentences of one language form a stretch; a fragment without a language of its own stays with the stretch
-    before it. ``n_sentences`` counts whole sentences (an end mark, at least LEAST_WORDS words, letters for the most part); ``confidence`` is the lead of
+    Neighbouring sentences of one language form a stretch; a fragment without a clear language of its own (a lead of UNSURE,
+    LEAST_WORDS words) stays with the stretch before it. ``n_sentences`` counts whole sentences (an end mark, at least LEAST_WORDS words, letters for the most part); ``confidence`` is the lead of
     the nearest profile, averaged over the characters. Text in no known language (junk, figures) has lang ''. Null, empty
     and blank texts give no row; repeated keys are judged separately; other columns are ignored. ``samples`` (lang, text) is the
     fixed table of known texts; without any there is no language to name and every stretch has lang ''.
@@ -189,7 +189,9 @@ def language_segments(df: DataFrame, samples: DataFrame, key: str = "rec_no", te
             for rec, body in zip(pdf["rec_no"], pdf["body"]):
                 runs: list[list] = []
                 for s, lang, lead, whole in model.judge(body) if model.langs else [(body, "", 0.0, False)]:
-                    if runs and (lang == runs[-1][0] or not whole):
+                    # a fragment with a clear language of its own is no part of a stretch in another
+                    own = whole or lang and lead >= UNSURE and len(_WORD.findall(s)) >= LEAST_WORDS
+                    if runs and (lang == runs[-1][0] or not own):
                         run = runs[-1]
                     else:
                         runs.append(run := [lang, 0.0, 0, 0, []])

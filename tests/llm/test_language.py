@@ -55,3 +55,11 @@ def test_numbered_entries_are_no_sentences(spark, samples):
     text = "\n".join(f"{i}. the {w} of the harbour guards, 40" for i, w in enumerate(["ropes", "lamps", "boats", "pumps"] * 5, 1))
     df = spark.createDataFrame([(1, text, "fr")], "rec_no bigint, content string, lang_label string")
     assert mislabelled(df, samples).collect() == []
+
+
+def test_fragments_of_another_language_are_stretches(spark, samples):
+    verse = "Personne ne savait pourquoi la route était fermée\n\nil a été noté que les bateaux étaient en retard"
+    df = spark.createDataFrame([(1, EN + "\n\n" + verse + "\n\n" + EN), (2, EN + "\n\nlamps, 40\n\n" + EN)], "rec_no bigint, content string")
+    rows = sorted(language_segments(df, samples).collect(), key=lambda r: (r["rec_no"], r["seg_no"]))
+    assert [(r["rec_no"], r["lang"], r["n_sentences"]) for r in rows] == [(1, "en", 3), (1, "fr", 0), (1, "en", 3), (2, "en", 6)]
+    assert {r["lang"] for r in record_languages(language_segments(df, samples)).where("rec_no = 1").collect()} == {"en", "fr"}
