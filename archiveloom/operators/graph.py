@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections import defaultdict
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -11,7 +13,7 @@ from pyspark.sql.window import Window
 
 from archiveloom.session import settle, ship
 
-#: Largest component that is split into communities in one task; beyond it communities come from label propagation.
+#: Largest component that is split into communities in one task; beyond it the same moves are made over the whole cluster.
 LARGEST_IN_MEMORY = 100_000
 
 
@@ -59,36 +61,53 @@ def connected_components(edges: DataFrame, extra: DataFrame | None = None) -> Da
     return every.join(roots, every["vertex"] == roots["u"], "left").select("vertex", F.coalesce("component", "vertex").alias("component"))
 
 
+def _gives(community: object, turn: int) -> bool:
+    """Whether a community gives vertices in this round; else it takes some."""
+    return int(hashlib.md5(f"{community}|{turn}".encode()).hexdigest()[0], 16) % 2 == 1
+
+
 def modularity_communities(pairs: list[tuple], limit: int | None = None) -> dict:
-    """Communities of one small graph by moving vertices greedily to the neighbouring community of the greatest modularity gain, in order of
-    the vertices; communities above ``limit`` are split again. The name of a community is its smallest vertex."""
+    """Communities of one small graph by rounds of moves to the neighbouring community of the greatest modularity gain (ties: the smallest);
+    communities above ``limit`` are split again. The name of a community is its smallest vertex.
+
+    In a round each community either gives or takes, so that no two swap. Moves are taken by gain, each less the most that those
+    before it to the same or from the same community could cost it, so every move gains; it ends when none is left. Gains are whole numbers.
+    """
     near: dict = defaultdict(set)
     for a, b in pairs:
         if a != b:
             near[a].add(b)
             near[b].add(a)
-    m2 = sum(map(len, near.values())) or 1
+    m2 = sum(map(len, near.values()))
     own = {v: v for v in near}
     weight = {v: len(n) for v, n in near.items()}
-    moved = True
-    for _ in range(50):
-        if not moved:
-            break
-        moved = False
-        for v in sorted(near):
+    turn = 0
+    while True:
+        moves = []
+        for v, ns in near.items():
             inside: dict = defaultdict(int)
-            for n in near[v]:
+            for n in ns:
                 inside[own[n]] += 1
-            here, k = own[v], len(near[v])
+            here, k = own[v], len(ns)
+            stay = inside.pop(here, 0) * m2 - (weight[here] - k) * k
+            if inside:
+                lost, best = min((weight[c] * k - n * m2, c) for c, n in inside.items())
+                if -lost > stay:
+                    moves.append((lost + stay, v, here, best, k))
+        if not moves:
+            break
+        before: dict = defaultdict(int)
+        taken = []
+        for lost, v, here, best, k in sorted(m for m in moves if _gives(m[2], turn) and not _gives(m[3], turn)):
+            if -lost - k * (before[here] + before[best]) > 0:
+                taken.append((v, here, best, k))
+            before[here] += k
+            before[best] += k
+        for v, here, best, k in taken:
+            own[v] = best
             weight[here] -= k
-            best, gain = here, inside.get(here, 0) - weight[here] * k / m2
-            for c in sorted(inside):
-                g = inside[c] - weight[c] * k / m2
-                if g > gain + 1e-12:
-                    best, gain = c, g
             weight[best] += k
-            if best != here:
-                own[v], moved = best, True
+        turn += 1
     groups: dict = defaultdict(list)
     for v, c in own.items():
         groups[c].append(v)
@@ -103,6 +122,51 @@ def modularity_communities(pairs: list[tuple], limit: int | None = None) -> dict
     return out
 
 
+def _moved(links: DataFrame) -> DataFrame:
+    """Rows (piece, vertex, community): the moves of :func:`modularity_communities` for each piece of links (piece, src, dst), both ways each."""
+    total = links.groupBy("piece").agg(F.count("*").alias("m2"))
+    own = settle(links.groupBy("piece", F.col("src").alias("vertex")).agg(F.count("*").alias("k")).join(total, "piece").withColumn("here", F.col("vertex")))
+    odd = lambda c, turn: F.substring(F.md5(F.concat(F.col(c).cast("string"), F.lit(f"|{turn}"))), 1, 1).isin(*"13579bdf")
+    turn = 0
+    while True:
+        weight = own.groupBy("here").agg(F.sum("k").alias("w"))
+        inside = links.join(own.select(F.col("vertex").alias("dst"), F.col("here").alias("c")), "dst").groupBy(F.col("src").alias("vertex"), "c").agg(F.count("*").alias("n"))
+        held = inside.join(own, "vertex").join(weight.withColumnRenamed("here", "c"), "c").join(weight.withColumnRenamed("w", "w_here"), "here")
+        same = F.col("c") == F.col("here")
+        lost = F.when(~same, F.col("w") * F.col("k") - F.col("n") * F.col("m2"))
+        stay = F.coalesce(F.max(F.when(same, F.col("n") * F.col("m2"))), F.lit(0)) - (F.first("w_here") - F.first("k")) * F.first("k")
+        best = held.groupBy("vertex", "here", "k").agg(F.min(F.when(~same, F.struct(lost.alias("lost"), F.col("c").alias("best")))).alias("b"), stay.alias("stay"))
+        moves = settle(best.select("vertex", "here", "k", "b.best", (F.col("b.lost") + F.col("stay")).alias("lost")).where("lost < 0"))
+        if moves.isEmpty():
+            return own.select("piece", "vertex", F.col("here").alias("community"))
+        before = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy("lost", "vertex").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+        while moves.where(odd("here", turn) & ~odd("best", turn)).isEmpty():
+            turn += 1
+        turned = moves.where(odd("here", turn) & ~odd("best", turn)).withColumn("spent", before("here") + before("best")).where("-lost - k * spent > 0")
+        own = settle(own.join(turned.select("vertex", "best"), "vertex", "left").select("piece", "vertex", "k", "m2", F.coalesce("best", "here").alias("here")))
+        turn += 1
+
+
+def large_communities(edges: DataFrame, limit: int | None = None) -> DataFrame:
+    """Rows (vertex, community) of edges (src, dst) of components of any size: what :func:`modularity_communities` gives, over the whole cluster."""
+    both = edges.select("component", "src", "dst").unionByName(edges.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
+    links, done = settle(both.distinct().withColumnRenamed("component", "piece")), []
+    while True:
+        found = _moved(links)
+        named = found.join(found.groupBy("community").agg(F.min("vertex").alias("name"), F.count("*").alias("size")), "community")
+        named = settle(named.join(found.groupBy("piece").agg(F.count("*").alias("all")), "piece").select("vertex", "name", "size", "all"))
+        again = F.lit(bool(limit)) & (F.col("size") > (limit or 0)) & (F.col("size") < F.col("all"))
+        done.append(named.where(~again).select("vertex", F.col("name").alias("community")))
+        split = named.where(again).select("vertex", "name")
+        if split.isEmpty():
+            break
+        inner = links.join(split.select(F.col("vertex").alias("src"), F.col("name").alias("piece_")), "src").join(split.select(F.col("vertex").alias("dst"), F.col("name").alias("other")), "dst")
+        links = settle(inner.where("piece_ = other").select(F.col("piece_").alias("piece"), "src", "dst"))
+        # a vertex without links inside stays alone
+        done.append(split.join(links.select(F.col("src").alias("vertex")).distinct(), "vertex", "left_anti").select("vertex", F.col("vertex").alias("community")))
+    return reduce(DataFrame.unionByName, done)
+
+
 def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     """Communities of a graph of any size: each vertex takes the label most frequent around it (ties: the smallest), a set number of times."""
     both = settle(edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct())
@@ -115,7 +179,7 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
 def communities(edges: DataFrame, extra: DataFrame | None = None, limit: int | None = None, largest: int = LARGEST_IN_MEMORY) -> DataFrame:
     """Rows (vertex, component, community): each component split by modularity; a lone vertex is a community. Components of more vertices
-    than ``largest`` are never gathered: theirs come from label propagation."""
+    than ``largest`` are never gathered; the same moves give theirs, so the result is the same at any ``largest``."""
     ship(edges.sparkSession)
     comp = settle(connected_components(edges, extra))
     size = comp.groupBy("component").agg(F.count("*").alias("size"))
@@ -128,7 +192,7 @@ def communities(edges: DataFrame, extra: DataFrame | None = None, limit: int | N
 
     small = placed.where(F.col("size") <= largest).select("component", "src", "dst").groupBy("component").applyInPandas(split, f"vertex {kind}, community {kind}")
     large = placed.where(F.col("size") > largest)
-    found = small if large.isEmpty() else small.unionByName(label_propagation(large))
+    found = small if large.isEmpty() else small.unionByName(large_communities(large, limit))
     return comp.join(found, "vertex", "left").select("vertex", "component", F.coalesce("community", "vertex").alias("community"))
 
 

@@ -115,3 +115,14 @@ def test_providers(spark):
     assert [r["y"] for r in verdict] == [True, True, True]
     texts = spark.createDataFrame([(str(i), f"answer {i}") for i in range(120)], "community string, text string")
     assert len(providers.answer_communities(texts, "What").collect()) == 1
+
+
+def test_communities_are_the_same_at_any_size(spark):
+    rng = random.Random(7)
+    star = [("hub", f"leaf{i}") for i in range(8)]
+    other = {(f"q{rng.randrange(7)}", f"n{rng.randrange(3)}") for _ in range(12)}
+    edges = spark.createDataFrame([(a, b, "x") for a, b in star + sorted(other)], "src string, dst string, label string")
+    small, large = ({r["vertex"]: r["community"] for r in G.communities(edges, limit=3, largest=n).collect()} for n in (100_000, 3))
+    assert small == large
+    assert all(large[v] == v for v in set(large.values()))
+    assert len({large[v] for e in star for v in e}) == 1
