@@ -1,8 +1,9 @@
 """Problem 6: text quality statistics per record, and whether it is prose, a list, a table or junk.
 
-The statistics are standardised and a Gaussian mixture is fitted to them by expectation-maximization over all records; each
-component takes the kind of the inspected examples nearest to it.  Records outside the clear prose components are then measured
-line by line: the kind of more than half of the characters decides.
+The statistics are standardised and a Gaussian mixture is fitted to them by expectation-maximization over all records.  It starts
+from inspected examples, one component each, and each component takes the kind of the examples that it answers for.  A record is
+of the kind that its components make most probable; what they call a list, a table or junk is then checked exactly: more than
+half of the characters must be of that kind.
 """
 
 from __future__ import annotations
@@ -11,24 +12,23 @@ import html
 import math
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pandas as pd
-from pyspark.ml.clustering import GaussianMixture
-from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archiveloom.session import settle, spread
 
-COMPONENTS, STEPS, SEED = 12, 25, 17
-#: A record whose posterior of prose is above this is prose without a second look.
-SURE = 0.995
-#: Members of a clear prose component are made of prose to this share at least, on average.
-PURE = 0.97
+#: Steps of expectation-maximization at most; it ends sooner when the mean log likelihood gains less than TOLERANCE.
+STEPS, TOLERANCE = 40, 1e-3
+#: Records that a component's example counts for, as its mean and as its variance (in squared deviations).
+PRIOR_MEAN, PRIOR_SPREAD, SPREAD = 2.0, 8.0, 0.1
 KINDS = ("prose", "list", "table", "junk")
-STATS = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "line_length", "marked_lines", "cells_per_line", "odd_tokens")
+#: The last three are shares of the visible characters, by the look of the line they stand in.
+STATS = ("word_count", "mean_word_length", "symbol_ratio", "punctuated_lines", "common_words", "digit_ratio", "line_length", "list_share", "table_share", "junk_share")
 
 _BREAKS = [
     (re.compile(r"<\s*li\b[^>]*>|\\item\b", re.I), "\n• "),
@@ -43,7 +43,7 @@ _MARK = re.compile(r"\s*(?:[-–—•*·▪◦‣+]+\s+|[([]?(?:\d{1,3}|[A-Za-z
 _WORD = re.compile(r"[^\W\d_]+")
 #: What a row of a table must hold for a look at its cells.
 _CELLS = re.compile(r"[|\t&…]|\s\s|;.*;|\.\.\.\.|\s\.\s\.")
-_ALNUM = re.compile(r"[^\W_]+")
+_SYMBOL = re.compile(r"[^\w\s]|_")
 _DIGIT = re.compile(r"\d")
 _NO_WORD = re.compile(r"\W")
 _LEADER = re.compile(r"\w.*?(?:\.{4,}|(?:\s\.){3,}|…{2,})\s*\S")
@@ -98,18 +98,33 @@ def cells(line: str) -> int:
 
 def line_kinds(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[str]]:
     """Visible characters by kind, and the kind of each line that is not blank."""
-    lines = [x for x in lines_of(text) if x.strip()]
-    kinds = []
-    for line in lines:
+    total, kinds, _ = _read(text, common)
+    return total, kinds
+
+
+def _read(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[str], list[float]]:
+    """What :func:`line_kinds` gives, and the number of lines, their characters, the lines that end as sentences do, the words, their letters, those that are common."""
+    lines, kinds, ended_, shown = [], [], 0, []
+    n_words = n_letters = n_known = 0
+    for line in lines_of(text):
         tokens = line.split()
+        if not tokens:
+            continue
+        lines.append(line)
         found = _WORD.findall(line)
-        visible = len("".join(tokens))
+        visible = sum(map(len, tokens))
+        shown.append(visible)
         known = sum(map(common.__contains__, map(str.lower, found)))
-        n = cells(line) if _CELLS.search(line) else 0
         letters = sum(map(len, found))
+        n_words += len(found)
+        n_letters += letters
+        n_known += known
+        ended = _ENDED.search(line[-12:]) is not None
+        ended_ += ended
+        n = cells(line) if _CELLS.search(line) else 0
         if not n and known >= 0.25 * len(tokens) and 3.5 * len(tokens) <= visible <= 12 * len(tokens) and letters >= 0.7 * visible:
             # words of usual length with many common ones among them can't be junk
-            kinds.append("list" if _MARK.match(line) else "prose" if _ENDED.search(line) or sum(len(w) > 1 for w in found) > 12 else "")
+            kinds.append("list" if _MARK.match(line) else "prose" if ended or sum(len(w) > 1 for w in found) > 12 else "")
             continue
         odd = sum(len(t) for t in tokens if odd_token(t))
         brief = sum(len(_NO_WORD.sub("", t)) <= 2 for t in tokens)
@@ -119,11 +134,11 @@ def line_kinds(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[
             kind = "table"
         elif n and not letters:
             kind = "junk" if not line.strip(" |-:+=") == "" else "table"
-        elif odd > 0.5 * visible or letters < 0.35 * visible and (len(tokens) >= 3 or not re.search(r"\w", line)) or len(tokens) >= 8 and brief > 0.75 * len(tokens) and known < 0.2 * len(tokens):
+        elif odd > 0.5 * visible or letters < 0.35 * visible and (len(tokens) >= 3 or not re.search(r"\w", line)) or len(tokens) >= 8 and brief > 0.75 * len(tokens) and (known < 0.2 * len(tokens) or brief > 0.95 * len(tokens)):
             kind = "junk"
         elif _MARK.match(line):
             kind = "list"
-        elif _ENDED.search(line) or len(words) > 12:
+        elif ended or len(words) > 12:
             kind = "prose"
         else:
             kind = ""
@@ -153,32 +168,19 @@ def line_kinds(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[
         kinds[i:j] = [kind] * len(run)
         i = j
     total = dict.fromkeys(KINDS, 0)
-    for line, kind in zip(lines, kinds):
-        total[kind] += len("".join(line.split()))
-    return total, kinds
+    for visible, kind in zip(shown, kinds):
+        total[kind] += visible
+    return total, kinds, [len(lines), sum(map(len, lines)), ended_, n_words, n_letters, n_known]
 
 
 def statistics(text: str, common: frozenset[str]) -> list[float]:
-    """The values named in STATS. A text without words or lines has zeros."""
-    lines = [x for x in lines_of(text) if x.strip()]
-    tokens = text.split()
-    visible = len("".join(tokens))
-    words = _WORD.findall(text)
-    n = len(lines) or 1
+    """The values named in STATS. A text without visible characters has zeros."""
+    total, _, (n, chars, ended, words, letters, known) = _read(text, common)
+    visible = sum(total.values())
     if not visible:
         return [0.0] * len(STATS)
-    return [
-        float(len(words)),
-        sum(map(len, words)) / max(1, len(words)),
-        (visible - sum(map(len, _ALNUM.findall(text)))) / visible,
-        sum(bool(_ENDED.search(x)) for x in lines) / n,
-        sum(map(common.__contains__, map(str.lower, words))) / max(1, len(words)),
-        len(_DIGIT.findall(text)) / visible,
-        math.log1p(sum(map(len, lines)) / n),
-        sum(bool(_MARK.match(x)) for x in lines) / n,
-        min(8.0, sum(cells(x) for x in lines if _CELLS.search(x)) / n),
-        sum(len(t) for t in tokens if odd_token(t)) / visible,
-    ]
+    shares = [total[k] / visible for k in KINDS[1:]]
+    return [float(words), letters / max(1, words), len(_SYMBOL.findall(text)) / visible, ended / n, known / max(1, words), len(_DIGIT.findall(text)) / visible, math.log1p(chars / n), *shares]
 
 
 # The inspected examples that give components their kind.
@@ -206,83 +208,163 @@ EXAMPLES = [
     ("junk", "kxqwz bnfrt hgplk zzxcv mnbvq wrtpl kdfgh xcvbn qwrtp lkjhg fdspl mnbvc zxplk jhgfd"),
     ("junk", "0 a il ii rn t a il ii c c 0 i1 il a t vv a rn 0 c il a c rn x"),
     ("junk", "?;-/(x0~ );;%(1!@(-/x!@1 -:9b/?1^b:~a) +-:@w~9+ .,/;:;1,w!:@1,0w)~ (~09 b?q qw:a:^x!:@("),
+    ("junk", "a i c ii 0 a i1 c t a 0 a c i x a i c vv a 0 i c a t rn i a c x a i"),
     ("junk", "0041. 000027 6606%; 0013 ? 2204; 00000065 1193. 0082 ? 3570% 000013 44; 00027. 3193 ?"),
     ("junk", "q8Jm2xWvR0tYb7LsKp4ZcNf1HgUeAo3DiQw6TxVyBn5MrEkS9lJhGzCaPuOdFi+W/qT8x2Yv7Zb3Nm"),
     ("junk", "~~~~~~~\n. . . . . .\n/ / / /\n....,,,,....\n- - - - -\n( ) ( ) ( )\n27 3301 88"),
 ]
 
-MEASURED = "rec_no bigint, stats array<double>, shares array<double>"
+MEASURED = "rec_no bigint, stats array<double>"
 
 
 def measured(df: DataFrame, words: DataFrame, key: str = "rec_no", text: str = "content") -> DataFrame:
-    """Rows (rec_no, stats, shares) for every text with visible characters: the values named in STATS, and the share of the
-    characters in lines of each of KINDS. ``words`` (word) is the fixed table of common words."""
-    common = frozenset(r["word"].lower() for r in words.select("word").distinct().collect() if r["word"])
+    """Rows (rec_no, stats) for every text with visible characters: the values named in STATS. ``words`` (word) is the fixed table of
+    common words."""
+    common = known_words(words)
 
     def measure(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
-            shares = []
-            for body in pdf["body"]:
-                total, _ = line_kinds(body, common)
-                n = sum(total.values()) or 1
-                shares.append([total[k] / n for k in KINDS])
-            yield pd.DataFrame({"rec_no": pdf["rec_no"], "stats": [statistics(b, common) for b in pdf["body"]], "shares": shares})
+            yield pd.DataFrame({"rec_no": pdf["rec_no"], "stats": [statistics(b, common) for b in pdf["body"]]})
 
     rows = df.where(F.col(text).rlike(r"\S")).select(F.col(key).cast("bigint").alias("rec_no"), F.col(text).alias("body"))
     return spread(rows).mapInPandas(measure, MEASURED)
 
 
-def _standardised(stats: list[str], mean: list[float], dev: list[float]):
-    scaled = [(F.col("stats")[i] - F.lit(mean[i])) / F.lit(dev[i]) for i in range(len(stats))]
-    scaled[0] = (F.log1p(F.col("stats")[0]) - F.lit(mean[0])) / F.lit(dev[0])
-    # a grain of noise from the values themselves keeps components of equal values from collapsing
-    grain = [(F.pmod(F.xxhash64(F.col("stats"), F.lit(i)), F.lit(1000)) / 1000 - 0.5) * 0.1 for i in range(len(stats))]
-    return array_to_vector(F.array(*[F.greatest(F.lit(-6.0), F.least(F.lit(6.0), c)) + g for c, g in zip(scaled, grain)]))
+def known_words(words: DataFrame) -> frozenset[str]:
+    """The fixed table of common words, in lower case."""
+    return frozenset(r["word"].lower() for r in words.select("word").distinct().collect() if r["word"])
+
+
+# ---- the mixture -------------------------------------------------------------------------------------------------------------
+
+
+def _plain(stats: np.ndarray) -> np.ndarray:
+    """Statistics as they are standardised: the number of words by its logarithm."""
+    return np.column_stack([np.log1p(stats[:, 0]), stats[:, 1:]])
+
+
+@dataclass
+class Mixture:
+    """A Gaussian mixture with diagonal covariances over standardised statistics, each component with the probability of each kind."""
+
+    centre: np.ndarray
+    scale: np.ndarray
+    weight: np.ndarray
+    mean: np.ndarray
+    var: np.ndarray
+    kind: np.ndarray
+
+    def standardised(self, stats: np.ndarray) -> np.ndarray:
+        return np.clip((_plain(stats) - self.centre) / self.scale, -8, 8)
+
+    def densities(self, x: np.ndarray) -> np.ndarray:
+        """Log of each component's weighted density at standardised points (points x components)."""
+        p = 1 / self.var
+        away = (x * x) @ p.T - 2 * x @ (self.mean * p).T + (self.mean**2 * p).sum(1)
+        return np.log(self.weight) - 0.5 * (away + np.log(2 * np.pi * self.var).sum(1))
+
+    def posteriors(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each component's share in each point, and the points' log likelihoods."""
+        d = self.densities(x)
+        top = d.max(1, keepdims=True)
+        e = np.exp(d - top)
+        total = e.sum(1, keepdims=True)
+        return e / total, (top + np.log(total))[:, 0]
+
+    def kinds(self, stats: np.ndarray) -> np.ndarray:
+        """The probability of each of KINDS (records x kinds)."""
+        return self.posteriors(self.standardised(stats))[0] @ self.kind
+
+
+def _summed(rows: DataFrame, size: int, values) -> np.ndarray:
+    """The sum over all rows of what ``values`` makes of a matrix of statistics: ``size`` numbers, added up in the tasks first."""
+
+    def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        total = np.zeros(size)
+        for pdf in batches:
+            if len(pdf):
+                total += values(np.stack(pdf["stats"].to_numpy()))
+        yield pd.DataFrame({"at": np.arange(size), "v": total})
+
+    out = np.zeros(size)
+    for r in rows.select("stats").mapInPandas(add, "at int, v double").groupBy("at").agg(F.sum("v").alias("v")).collect():
+        out[r["at"]] = r["v"]
+    return out
+
+
+def fit_mixture(rows: DataFrame, common: frozenset[str]) -> Mixture:
+    """Expectation-maximization over all ``rows`` (stats), one pass a step; sums of a fixed size reach the driver.
+
+    Each inspected example starts a component and counts for a few records of it, so that the same path holds for any number of
+    records, none included.
+    """
+    inspected = np.array([statistics(t, common) for _, t in EXAMPLES])
+    d, k = inspected.shape[1], len(EXAMPLES)
+    moments = lambda s: np.concatenate([[len(s)], _plain(s).sum(0), (_plain(s) ** 2).sum(0)])
+    sums = _summed(rows, 1 + 2 * d, moments) + moments(inspected)
+    centre = sums[1 : 1 + d] / sums[0]
+    scale = np.sqrt(np.maximum(1e-6, sums[1 + d :] / sums[0] - centre**2))
+    model = Mixture(centre, scale, np.full(k, 1 / k), np.zeros((k, d)), np.full((k, d), 0.5), np.zeros((k, len(KINDS))))
+    start = model.mean = model.standardised(inspected)
+    last = -math.inf
+    for _ in range(STEPS):
+        shared = rows.sparkSession.sparkContext.broadcast(model)
+
+        def expect(stats: np.ndarray, shared=shared) -> np.ndarray:
+            x = shared.value.standardised(stats)
+            r, like = shared.value.posteriors(x)
+            return np.concatenate([r.sum(0), (r.T @ x).ravel(), (r.T @ (x * x)).ravel(), [like.sum(), len(x)]])
+
+        got = _summed(rows, k * (1 + 2 * d) + 2, expect)
+        n, s, q = got[:k], got[k : k + k * d].reshape(k, d), got[k + k * d : -2].reshape(k, d)
+        mean = (s + PRIOR_MEAN * start) / (n + PRIOR_MEAN)[:, None]
+        around = q - 2 * mean * s + n[:, None] * mean**2 + PRIOR_MEAN * (start - mean) ** 2 + PRIOR_SPREAD * SPREAD
+        model = Mixture(centre, scale, (n + 1) / (n + 1).sum(), mean, around / (n + PRIOR_MEAN + PRIOR_SPREAD)[:, None], model.kind)
+        shared.unpersist()
+        like = got[-2] / max(1.0, got[-1])
+        if like - last < TOLERANCE:
+            break
+        last = like
+    model.kind = component_kinds(model, inspected)
+    return model
+
+
+def component_kinds(model: Mixture, inspected: np.ndarray) -> np.ndarray:
+    """The kind of each component (1 for it, 0 for others): that of the examples which are nearest to its mean, in its own
+    deviations. One example speaks for itself where it stays nearest."""
+    x = model.standardised(inspected)
+    out = np.zeros((len(model.mean), len(KINDS)))
+    for i, (m, v) in enumerate(zip(model.mean, model.var)):
+        away = ((x - m) ** 2 / (v + SPREAD)).sum(1)
+        out[i, KINDS.index(EXAMPLES[int(away.argmin())][0])] = 1.0
+    return out
+
+
+QUALITY = "rec_no bigint, " + ", ".join(f"{s} double" for s in STATS) + ", component int, prose_probability double, mixture_kind string, kind string"
 
 
 def text_quality(df: DataFrame, words: DataFrame, key: str = "rec_no", text: str = "content") -> DataFrame:
     """Rows (rec_no, the STATS, component, prose_probability, mixture_kind, kind) for every text with visible characters.
 
-    ``mixture_kind`` is the kind of the likeliest component; ``kind`` is prose where the mixture is sure of prose, else the kind of
-    more than half of the characters (prose if none). Null, empty and blank texts give no row; repeated keys one row each; other
-    columns are ignored. With fewer texts than components the mixture isn't fitted and the characters decide alone.
+    ``mixture_kind`` is the most probable kind by the mixture; ``kind`` is the same where the exact check holds (more than half
+    of the characters are of it), else prose. Null, empty and blank texts give no row; repeated keys one row each; other columns
+    are ignored. An empty table gives an empty result.
     """
     rows = settle(measured(df, words, key, text))
-    first = [F.log1p(F.col("stats")[0]) if i == 0 else F.col("stats")[i] for i in range(len(STATS))]
-    moments = rows.select(F.count("*").alias("n"), *[F.mean(c).alias(f"m{i}") for i, c in enumerate(first)], *[F.stddev_pop(c).alias(f"d{i}") for i, c in enumerate(first)]).first()
-    best = F.array_position(F.transform("shares", lambda x: x > 0.5), True)
-    by_lines = F.when(best > 0, F.element_at(F.array(*map(F.lit, KINDS)), F.greatest(best, F.lit(1)).cast("int"))).otherwise("prose")
-    named = [F.col("stats")[i].alias(s) for i, s in enumerate(STATS)]
-    if moments["n"] < 10 * COMPONENTS:
-        return rows.select("rec_no", *named, F.lit(None).cast("int").alias("component"), F.lit(None).cast("double").alias("prose_probability"), F.lit(None).cast("string").alias("mixture_kind"), by_lines.alias("kind"))
-    mean, dev = [moments[f"m{i}"] for i in range(len(STATS))], [moments[f"d{i}"] or 1.0 for i in range(len(STATS))]
-    points = rows.withColumn("features", _standardised(list(STATS), mean, dev))
-    model = GaussianMixture(k=COMPONENTS, maxIter=STEPS, tol=0.01, seed=SEED).fit(points.select("features"))
-    common = frozenset(r["word"].lower() for r in words.select("word").distinct().collect() if r["word"])
-    examples = df.sparkSession.createDataFrame([(k, statistics(t, common)) for k, t in EXAMPLES], "kind string, stats array<double>")
-    at = examples.select("kind", vector_to_array(_standardised(list(STATS), mean, dev)).alias("x")).collect()
-    placed = model.transform(points)
-    # the members of each component are inspected too, by the lines they are made of
-    members = {r["prediction"]: r["shares"] for r in placed.groupBy("prediction").agg(F.array(*[F.mean(F.col("shares")[i]) for i in range(len(KINDS))]).alias("shares")).collect()}
-    kinds = component_kinds([g.mean.toArray() for g in model.gaussiansDF.collect()], [(r["kind"], np.array(r["x"])) for r in at], members)
-    p = vector_to_array("probability")
-    pure = [i for i, k in enumerate(kinds) if k == "prose" and members.get(i, [1.0])[0] >= PURE]
-    of_prose = F.aggregate(F.array(*[p[i] for i in pure] or [F.lit(0.0)]), F.lit(0.0), lambda a, x: a + x)
-    out = placed.withColumn("prose_probability", of_prose)
-    return out.select(
-        "rec_no", *named, F.col("prediction").alias("component"), "prose_probability", F.element_at(F.array(*map(F.lit, kinds)), F.col("prediction") + 1).alias("mixture_kind"),
-        F.when(F.col("prose_probability") > SURE, F.lit("prose")).otherwise(by_lines).alias("kind"),
-    )
-
-
-def component_kinds(means: list[np.ndarray], examples: list[tuple[str, np.ndarray]], members: dict[int, list[float]]) -> list[str]:
-    """The kind of the example nearest to each component's mean (standardised, without the length), unless less than half of
-    what its members are made of is of that kind; then the kind they are mostly made of."""
-    kinds = []
-    for i, m in enumerate(means):
-        kind = min(examples, key=lambda e: float(((e[1] - m)[1:] ** 2).sum()))[0]
-        shares = members.get(i)
-        if shares and shares[KINDS.index(kind)] < 0.5:
-            kind = KINDS[int(np.argmax(shares))]
-        kinds.append(kind)
-    return kinds
+    shared = df.sparkSession.sparkContext.broadcast(fit_mixture(rows, known_words(words)))
+
+    def place(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shared.value
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            stats = np.stack(pdf["stats"].to_numpy())
+            r, _ = model.posteriors(model.standardised(stats))
+            p = r @ model.kind
+            best = p.argmax(1)
+            share = np.column_stack([np.ones(len(stats)), stats[:, -3:]])[np.arange(len(stats)), best]
+            names = np.array(KINDS, dtype=object)
+            out = pd.DataFrame({"rec_no": pdf["rec_no"].to_numpy()} | {s: stats[:, i] for i, s in enumerate(STATS)})
+            yield out.assign(component=r.argmax(1).astype("int32"), prose_probability=p[:, 0], mixture_kind=names[best], kind=names[np.where(share > 0.5, best, 0)])
+
+    return rows.mapInPandas(place, QUALITY)
