@@ -1,9 +1,10 @@
 """Problem 10: keyword-stuffed pages, link lists and runs of product tags.
 
 Stage 1 measures the compression ratio of fixed-size blocks of every text and normalises it by the usual ratio of the
-text's length and language, taken from all texts.  Extreme redundancy flags a page.  Stage 2 confirms flagged pages by the
-share of their characters that lack sentence punctuation in the way prose has it: links with at most a label, tags,
-and words that keep repeating outside of ordinary sentences.
+text's length and language, taken from all texts.  Extreme redundancy flags a page.  Stage 2 confirms flagged pages by low
+density of sentence punctuation: less than half of the text stands in sentences that are closed by an end mark and don't
+say the same again.  Neither stage decides alone: lists and cards have few sentences but aren't redundant, and some plain
+pages are redundant but made of sentences.
 """
 
 from __future__ import annotations
@@ -20,21 +21,26 @@ from pyspark.sql import functions as F
 from archiveloom.session import settle, spread
 
 BLOCK = 480
-#: A page is flagged when its redundant blocks compress to less than this part of the usual ratio.
-REDUNDANT = 0.92
-#: Texts from which a ratio is taken as usual.
-ENOUGH = 30
-#: Words in a window of repetition; a run of more letters than LONGEST is no word.
-WINDOW, LONGEST = 40, 40
-#: Share of different words below which a window repeats itself, outside of and within sentences.
-VARIED, VARIED_PROSE = 0.63, 0.42
+#: A page is flagged when three tenths of it compress to less than this part of the usual ratio.
+REDUNDANT = 0.84
+#: A page of less than this share in sentences is confirmed.
+PUNCTUATED = 0.5
+#: Texts that the ratio of the next wider group counts for: a length's ratio leans on its language's, a language's on that of all.
+PRIOR = 30
+#: Words of a sentence; longer runs of letters than LONGEST are no words.
+FEWEST, MOST, LONGEST = 5, 70, 40
+#: Words around a sentence, and the share of different ones among them below which it says the same again.
+WINDOW, VARIED = 40, 0.45
 
 _URL = re.compile(r"(?:https?://|www\.)[^\s)\]>]+", re.I)
 _LINK_LINE = re.compile(r"(?m)^[^\n.;!?]{0,60}(?:https?://|www\.)\S+[^\n.;!?]{0,10}$", re.I)
-_TAG = re.compile(r"(?<!\w)#[^\W\d]\w*")
-_WORD = re.compile(r"[^\W_]+(?:['’-][^\W_]+)*")
+_WORD = re.compile(r"[^\W\d_]+(?:['’-][^\W_]+)*")
 _DIGIT = re.compile(r"\d")
 _END = re.compile(r"(?<=[.!?;…])[\"'»”)\]]*\s+|\n\s*\n|\n(?=\s*(?:[-*•–>#\[|]|\d+[.)]\s))")
+#: What stands before an address in a bibliography is punctuated within; a link's label isn't.
+_PUNCTUATED = re.compile(r"\w\s?[.;!?]\s+\w")
+#: Characters before an address that can belong to its entry.
+ENTRY = 100
 
 
 def block_ratio(text: str) -> float:
@@ -60,79 +66,63 @@ def block_ratio(text: str) -> float:
 
 
 def length_bin(text: str) -> int:
-    """Half powers of two of the length, up to 16,384 characters; longer texts share a bin."""
-    n = min(len(text), 16_384)
+    """Half powers of two of the length."""
+    n = len(text)
     k = n.bit_length()
     return 2 * k + (n >> max(0, k - 2) & 1)
 
 
-def _prose(unit: str, words: list[str]) -> bool:
-    """Shaped like a sentence: an end mark, enough words, and no phrase that comes back again and again."""
-    n = len(words)
-    if not 6 <= n <= 70 or unit.rstrip(" \"'»”)]*-–—_\n\t")[-1:] not in ".!?;:…":
-        return False
-    pairs = list(zip(words, words[1:]))
-    return len(set(pairs)) == n - 1 or sum(c for c in Counter(pairs).values() if c > 1) <= 0.15 * n
-
-
-def spam_share(text: str) -> float:
-    """Share of the visible characters that are links with at most a label, tags, or words repeated outside of sentences."""
+def sentence_share(text: str) -> float:
+    """Share of the visible characters that stand in sentences: closed by an end mark, of FEWEST to MOST words, without a link in them,
+    and neither made of phrases that come back within them nor set among the same few words. Punctuated entries with an address
+    (a bibliography's) count as sentences."""
     visible = len("".join(text.split()))
     if not visible:
         return 0.0
-    spam = 0
-    if "#" in text or _URL.search(text):
-        rest = []
-        for line in text.split("\n"):
-            urls = _URL.findall(line)
-            if urls:
-                label = _URL.sub(" ", line)
-                if len(_WORD.findall(label)) <= 6 * len(urls) and not re.search(r"\w[.;,!]\s", label):
-                    spam += len("".join(line.split()))
-                    line = ""
-                else:
-                    line = label
-            tags = _TAG.findall(line)
-            if len(tags) >= 3 or tags and len(_WORD.findall(_TAG.sub(" ", line))) <= 2:
-                spam += sum(map(len, tags))
-                line = _TAG.sub(" ", line)
-            rest.append(line)
-        text = "\n".join(rest)
-    units, words, total = [], [], 0
-    for unit in _END.split(text.lower()):
-        own = _WORD.findall(unit)
-        own = [w for w in own if not w[0].isdigit()]
-        total += sum(map(len, own))
-        own = [w for w in own if len(w) <= LONGEST]
+    good = 0
+    text = text.lower()
+    if "http" in text or "www." in text:
+        rest, start = [], 0
+        for m in _URL.finditer(text):
+            label = text[max(start, m.start() - ENTRY) : m.start()]
+            label = label[max(label.rfind("["), label.rfind("\n\n"), 0) :]
+            if _PUNCTUATED.search(label):
+                good += len("".join(label.split())) + len(m.group())
+                rest.append(text[start : m.start() - len(label)])
+            else:
+                rest.append(text[start : m.end()])
+            start = m.end()
+        text = "\n\n".join([*rest, text[start:]])
+    units, words = [], []
+    for unit in _END.split(text):
+        own = [w for w in _WORD.findall(unit) if len(w) <= LONGEST]
         if own:
             units.append((len(words), unit, own))
             words += own
     n = len(words)
-    suspect: list[tuple[int, int, float]] = []
-    for i in range(0, max(1, n - WINDOW // 2), WINDOW // 4):
-        part = words[i : i + WINDOW]
-        if len(part) < 10:
-            break
-        fresh = len(set(part)) / len(part) / (WINDOW / len(part)) ** 0.25  # shorter windows repeat less
-        if fresh < VARIED:
-            suspect.append((i, i + len(part), fresh))
-    if suspect:
-        prose = [p for _, unit, own in units for p in [_prose(unit, own)] * len(own)]
-        low = {j for i, k, fresh in suspect for j in range(i, k) if not prose[j] or fresh < VARIED_PROSE}
-        # marks and figures between words count as their words do
-        spam += (visible - spam) * sum(len(words[j]) for j in low) / total
-    return spam / visible
-
-
-SCORES = "doc_id bigint, lang string, length_bin int, ratio double, share double"
-
-
-def spam_scores(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", redundant: float = REDUNDANT) -> DataFrame:
-    """Rows (doc_id, lang, length_bin, ratio, usual, redundancy, share, flagged, spam) for every text with visible characters.
-
-    ``ratio`` is the block-wise compression ratio, ``usual`` what all texts of that language and length have,
-    ``redundancy`` their quotient, ``share`` the share of spam in the text. Null, empty and blank texts give no row;
-    equal keys give one row each; a null language is a language of its own; other columns are ignored.
+    for at, unit, own in units:
+        k = len(own)
+        if not FEWEST <= k <= MOST or unit.rstrip(" \"'»”)]*-–—_\n\t")[-1:] not in ".!?;:…" or _URL.search(unit):
+            continue
+        pairs = set(zip(own, own[1:]))
+        if len(pairs) < k - 1 and sum(c for c in Counter(zip(own, own[1:])).values() if c > 1) > 0.15 * k:
+            continue
+        low = max(0, min(at + k // 2 - WINDOW // 2, n - WINDOW))
+        near = words[low : low + WINDOW]
+        if len(set(near)) / len(near) / (WINDOW / len(near)) ** 0.25 >= VARIED:  # fewer words repeat less
+            good += len("".join(unit.split()))
+    return good / visible
+
+
+SCORES = "doc_id bigint, lang string, length_bin int, ratio double, sentence_share double"
+
+
+def spam_scores(df: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang", redundant: float = REDUNDANT, punctuated: float = PUNCTUATED) -> DataFrame:
+    """Rows (doc_id, lang, length_bin, ratio, sentence_share, usual, redundancy, flagged, spam) for every text with visible characters.
+
+    ``ratio`` is the block-wise compression ratio, ``usual`` what all texts of that language and length have, ``redundancy`` their
+    quotient, ``sentence_share`` the share of the text in sentences. Null, empty and blank texts give no row; equal keys give
+    one row each; a null language is a language of its own; other columns are ignored.
     """
     docs = spread(df.where(F.col(text).rlike(r"\S")).select(F.col(key).cast("bigint").alias("doc_id"), F.col(text).alias("body"), F.coalesce(F.col(lang), F.lit("")).alias("lang")))
 
@@ -141,16 +131,18 @@ def spam_scores(df: DataFrame, key: str = "doc_id", text: str = "text", lang: st
             bodies = pdf["body"].tolist()
             yield pd.DataFrame({
                 "doc_id": pdf["doc_id"], "lang": pdf["lang"], "length_bin": [length_bin(t) for t in bodies],
-                "ratio": [block_ratio(t) for t in bodies], "share": [spam_share(t) for t in bodies],
+                "ratio": [block_ratio(t) for t in bodies], "sentence_share": [sentence_share(t) for t in bodies],
             })
 
     scored = settle(docs.mapInPandas(measure, SCORES))
     # the usual ratio of the text's language and length; never less than that of its language at any length, lest a length at which
-    # all texts are spam passes for usual. Few texts say little: a rare language takes the ratio of all languages.
+    # all texts are spam passes for usual
     middle = lambda p: F.percentile_approx("ratio", p, 1000)
+    leaning = lambda own, n, wider: (own * n + wider * PRIOR) / (n + PRIOR)
     of_length = scored.groupBy("lang", "length_bin").agg(middle(0.6).alias("a"), F.count("*").alias("n_a"))
     of_lang = scored.groupBy("lang").agg(middle(0.5).alias("b"), F.count("*").alias("n_b"))
     overall = F.lit(scored.select(middle(0.5)).scalar())
-    usual = of_length.join(of_lang, "lang").select("lang", "length_bin", F.greatest(F.when(F.col("n_a") >= ENOUGH, F.col("a")), F.when(F.col("n_b") >= ENOUGH, F.col("b")).otherwise(overall)).alias("usual"))
+    of_lang = of_lang.select("lang", leaning(F.col("b"), F.col("n_b"), overall).alias("b"))
+    usual = of_length.join(of_lang, "lang").select("lang", "length_bin", F.greatest(leaning(F.col("a"), F.col("n_a"), F.col("b")), "b").alias("usual"))
     out = scored.join(F.broadcast(usual), ["lang", "length_bin"]).withColumn("redundancy", F.col("ratio") / F.col("usual"))
-    return out.withColumn("flagged", F.col("redundancy") < redundant).withColumn("spam", F.col("flagged") & (F.col("share") > 0.5))
+    return out.withColumn("flagged", F.col("redundancy") < redundant).withColumn("spam", F.col("flagged") & (F.col("sentence_share") < punctuated))

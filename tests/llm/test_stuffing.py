@@ -2,7 +2,7 @@ import random
 
 import pytest
 
-from archiveloom.llm.stuffing import spam_scores, spam_share
+from archiveloom.llm.stuffing import sentence_share, spam_scores
 
 rng = random.Random(5)
 PLACES = ["Lyon", "Bern", "Turin", "Geneva", "Basel", "Milan", "Nice", "Ghent"]
@@ -39,22 +39,50 @@ HAM = {
 }
 
 
+IN_SENTENCES = {"prose", "prose and tags", "bibliography", "resolution"}
+
+
 @pytest.mark.parametrize("name", SPAM)
-def test_spam(name):
-    assert spam_share(SPAM[name]) > 0.5
+def test_spam_stands_in_no_sentences(name):
+    assert sentence_share(SPAM[name]) < 0.5
 
 
 @pytest.mark.parametrize("name", HAM)
-def test_ham(name):
-    assert spam_share(HAM[name]) <= 0.5
+def test_sentences(name):
+    assert (sentence_share(HAM[name]) >= 0.5) == (name in IN_SENTENCES)
 
 
-def test_operator(spark, clashing):
+def test_odd_texts():
+    assert sentence_share("") == 0.0 and sentence_share(" \n") == 0.0 and sentence_share("x" * 200_000) == 0.0 and sentence_share("http://" * 9000) == 0.0
+
+
+def pages(spark, clashing):
     texts = [*SPAM.values(), *HAM.values(), *[prose(20, 100 + i) for i in range(60)]]
-    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(900, None, "en"), (901, "", "en"), (902, " \n", None), (903, SPAM["salad"] * 300, "en"), (0, SPAM["phrases"], "en"), (None, prose(9), None), (904, "x" * 200_000, "en")]
-    df = clashing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string"))
+    rows = [(i, t, "en") for i, t in enumerate(texts)] + [(900, None, "en"), (901, "", "en"), (902, " \n", None), (903, SPAM["salad"] * 300, "en"), (0, SPAM["phrases"], "en"), (None, prose(9), None), (904, "".join(chr(97 + rng.randrange(26)) for _ in range(200_000)), "en")]
+    return clashing(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")), len(rows) - 3
+
+
+def test_operator(spark, clashing):
+    df, n = pages(spark, clashing)
     got = spam_scores(df).collect()
-    assert len(got) == len(rows) - 3
-    found = {r["doc_id"] for r in got if r["spam"]}
-    assert found == {*range(len(SPAM)), 903}
+    assert len(got) == n
+    assert {r["doc_id"] for r in got if r["spam"]} == {*range(len(SPAM)), 903}
     assert spam_scores(df.limit(0)).collect() == []
+
+
+def test_both_stages_decide(spark, clashing):
+    """Neither redundancy nor the density of sentences alone gives the rows."""
+    df, _ = pages(spark, clashing)
+    want = {*range(len(SPAM)), 903}
+    assert not any(r["spam"] for r in spam_scores(df, redundant=0.0).collect())
+    lists = {len(SPAM) + i for i, name in enumerate(HAM) if name not in IN_SENTENCES}
+    found = {r["doc_id"] for r in spam_scores(df, redundant=99.0).collect() if r["spam"]}
+    assert found >= want | lists
+
+
+def test_few_texts_of_a_language_lean_on_the_others(spark):
+    """One page of a rare language is held against the usual ratio of all, by the same rule as the many."""
+    rows = [(i, prose(20, 100 + i), "en") for i in range(200)] + [(900, SPAM["phrases"], "xx"), (901, prose(20, 7), "yy")]
+    by = {r["doc_id"]: r for r in spam_scores(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert by[900]["spam"] and not by[901]["spam"]
+    assert abs(by[901]["usual"] - by[0]["usual"]) < 0.1
