@@ -63,3 +63,34 @@ def test_fragments_of_another_language_are_stretches(spark, samples):
     rows = sorted(language_segments(df, samples).collect(), key=lambda r: (r["rec_no"], r["seg_no"]))
     assert [(r["rec_no"], r["lang"], r["n_sentences"]) for r in rows] == [(1, "en", 3), (1, "fr", 0), (1, "en", 3), (2, "en", 6)]
     assert {r["lang"] for r in record_languages(language_segments(df, samples)).where("rec_no = 1").collect()} == {"en", "fr"}
+
+
+def by_definition(profiles, words):
+    """Out-of-place distances, n-gram by n-gram."""
+    from archiveloom.llm.language import PROFILE_SIZE, ranked
+
+    grams = ranked(words)[:PROFILE_SIZE]
+    out = []
+    for k in range(len(profiles.langs)):
+        place = lambda g: int(profiles.place[profiles.row.get(g, 0), k])
+        away = [PROFILE_SIZE if place(g) > PROFILE_SIZE else abs(place(g) - i * PROFILE_SIZE // len(grams)) for i, g in enumerate(grams)]
+        out.append(sum(away) / (PROFILE_SIZE * len(grams)) if grams else 1.0)
+    return out
+
+
+@pytest.mark.parametrize("at_once", [1, 300, 1 << 19])
+def test_distances_of_many_sentences_are_those_of_each(monkeypatch, at_once):
+    import random
+
+    from archiveloom.llm import language
+
+    profiles = language.Profiles.fit([("en", EN * 9), ("fr", FR * 9), ("de", DE * 9)])
+    monkeypatch.setattr(language, "_AT_ONCE", at_once)
+    monkeypatch.setattr(language, "_REMEMBERED", 900)
+    rng = random.Random(7)
+    vocabulary = [w.lower() for t in (EN, FR, DE) for w in language._WORD.findall(t)] + ["zzz", "x", "aaaaaaaa", "ж" * 50]
+    sents = [[rng.choice(vocabulary) for _ in range(rng.choice([0, 1, 2, 9, 40, 700]))] for _ in range(60)]
+    found = profiles.distances_of(sents)
+    for words, got in zip(sents, found):
+        assert all(abs(a - b) < 1e-12 for a, b in zip(got, by_definition(profiles, words)))
+    assert profiles.distances_of([]).shape == (0, 3)
