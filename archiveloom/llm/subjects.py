@@ -77,27 +77,28 @@ class SubjectModel:
         speak for which subject."""
         n, k = len(sents), len(self.subjects)
         row, col = np.repeat(np.arange(n), [len(x) for x in sents]), np.concatenate(sents)
-        used, at = np.unique(col, return_inverse=True)
-        v = len(used)
-        w, seen = np.zeros((k, v)), np.full((k, v), 1e-9)
-        free = np.ones((k, v), bool) if telling is None else telling[used].T
-        b, seen_b = np.full(k, -2.5), np.full(k, 1e-9)
-        weight = (weight / weight.sum())[:, None]
-        for _ in range(STEPS):
-            z = np.stack([np.bincount(row, w[j, at], n) for j in range(k)], 1) + b
-            slope = (1 / (1 + np.exp(-z)) - target) * weight
-            for j in range(k):
-                g = np.bincount(at, slope[row, j], v)
-                seen[j] += g * g
-                step = RATE / np.sqrt(seen[j])
-                w[j] -= step * g
-                w[j] = np.sign(w[j]) * np.maximum(0, np.abs(w[j]) - step * l1) * free[j]
-            total = slope.sum(0)
-            seen_b += total * total
-            b -= RATE * total / np.sqrt(seen_b)
+        weight = weight / weight.sum()
         self.weights = np.zeros((BUCKETS, k), np.float32)
-        self.weights[used] = w.T
-        self.bias = b
+        self.bias = np.full(k, -2.5)
+        for j in range(k):
+            # an n-gram that may not speak keeps the weight 0, so its places need no look
+            free = np.ones(len(col), bool) if telling is None else telling[col, j]
+            own_row = row[free]
+            used = distinct(col[free])
+            at = np.searchsorted(used, col[free])
+            w, seen, seen_b = np.zeros(len(used)), np.full(len(used), 1e-9), 1e-9
+            for _ in range(STEPS):
+                z = np.bincount(own_row, w[at], n) + self.bias[j]
+                slope = (1 / (1 + np.exp(-z)) - target[:, j]) * weight
+                g = np.bincount(at, slope[own_row], len(used))
+                seen += g * g
+                step = RATE / np.sqrt(seen)
+                w -= step * g
+                w = np.sign(w) * np.maximum(0, np.abs(w) - step * l1)
+                total = slope.sum()
+                seen_b += total * total
+                self.bias[j] -= RATE * total / np.sqrt(seen_b)
+            self.weights[used, j] = w
 
     @classmethod
     def fit(cls, seeds: list[tuple[str, str]], sections: list[str] | Sections) -> SubjectModel:
@@ -115,7 +116,7 @@ class SubjectModel:
         drawn = every.draw()
         for sure in ROUNDS if drawn else ():
             speaks = telling(*(a + b for a, b in zip(seeded, every.tally(model, sure))))
-            drawn += every.holding(speaks.any(1), drawn)
+            drawn += every.holding(speaks.any(1))
             qx, own_at = flat(drawn)
             if not qx:
                 break
@@ -142,10 +143,16 @@ def lending(model: SubjectModel, sections: list[list[np.ndarray]], sure: float)
     return hit, np.minimum(1, GENEROUS * share) * (share >= LENDING)
 
 
+def distinct(x: np.ndarray) -> np.ndarray:
+    """The different whole numbers of an array, in order. (A plain sort is faster here than looking each up.)"""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
+
+
 def tally(sections: list[list[np.ndarray]], of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
     """Sections by n-gram, by n-gram and subject, by subject, and in all; ``of`` (sections x subjects) says what they treat."""
     sents, own_at = flat(sections)
-    pair = np.unique(np.repeat(own_at, [len(x) for x in sents]) * BUCKETS + np.concatenate(sents)) if sents else np.zeros(0, np.int64)
+    pair = distinct(np.repeat(own_at, [len(x) for x in sents]) * BUCKETS + np.concatenate(sents)) if sents else np.zeros(0, np.int64)
     section, gram = pair // BUCKETS, pair % BUCKETS
     by = np.stack([np.bincount(gram, of[section, k], BUCKETS) for k in range(of.shape[1])], 1)
     return np.bincount(gram, minlength=BUCKETS), by, of.sum(0), len(sections)
@@ -198,7 +205,7 @@ class Sections:
         """The sample that the gradient is run on."""
         return list(self.sections)
 
-    def holding(self, speaks: np.ndarray, drawn: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    def holding(self, speaks: np.ndarray) -> list[list[np.ndarray]]:
         """Further sections for n-grams that the sample lacks."""
         return []
 
@@ -226,7 +233,8 @@ class SpreadSections(Sections):
         self.rows, self.most, self.room = rows, most, most
         self.sizes: list[int] = []
         self.taken: set[tuple] = set()
-        self.held = np.zeros(BUCKETS, np.int64)
+        #: Sections, and stretches of the sample, that hold each n-gram.
+        self.held, self.has = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
 
     def _stretches(self) -> DataFrame:
         def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -243,15 +251,16 @@ class SpreadSections(Sections):
     def _taken(self, found: list) -> list[list[np.ndarray]]:
         self.taken |= {(r["node_id"], r["part"]) for r in found}
         self.sizes += [max(1, r["size"]) for r in found]
-        return [_unpacked(r["lens"], r["grams"]) for r in found]
+        more = [_unpacked(r["lens"], r["grams"]) for r in found]
+        self.has += tally(more, np.zeros((len(more), 1)))[0]
+        return more
 
     def draw(self) -> list[list[np.ndarray]]:
         return self._taken(self._stretches().orderBy("h", "node_id", "part").limit(self.most).collect())
 
-    def holding(self, speaks: np.ndarray, drawn: list[list[np.ndarray]]) -> list[list[np.ndarray]]:
+    def holding(self, speaks: np.ndarray) -> list[list[np.ndarray]]:
         """Stretches for the n-grams that speak and of which the sample has fewer than FEW, those first that serve most sections."""
-        has = tally(drawn, np.zeros((len(drawn), 1)))[0]
-        wanted = speaks & (has < np.minimum(FEW, self.held))
+        wanted = speaks & (self.has < np.minimum(FEW, self.held))
         if not self.room or not wanted.any():
             return []
         shared = self.rows.sparkSession.sparkContext.broadcast((wanted, self.taken))
@@ -262,7 +271,7 @@ class SpreadSections(Sections):
             for pdf in batches:
                 for node, part, grams, h in zip(pdf["node_id"], pdf["part"], pdf["grams"], pdf["h"]):
                     if (node, part) not in taken:
-                        own = np.unique(np.frombuffer(grams, np.uint16))
+                        own = distinct(np.frombuffer(grams, np.uint16))
                         for g in own[wanted[own]].tolist():
                             slot, me = (g, h % FEW), (h, node, part)
                             if slot not in best or me < best[slot]:
