@@ -13,6 +13,7 @@ import re
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -53,8 +54,16 @@ def sentence_words(text: str) -> list[list[str]]:
 
 def buckets(words: list[str]) -> np.ndarray:
     """Hashed single words, pairs, and the heads of long words (which inflected forms, compounds and loan words share), each once."""
-    heads = (w[:HEAD] + "-" for w in words if len(w) > HEAD)
-    return np.unique(np.array([zlib.crc32(g.encode()) % BUCKETS for g in (*words, *map(" ".join, zip(words, words[1:])), *heads)], dtype=np.int64))
+    own = [_hashes(w) for w in words]
+    pairs = [zlib.crc32(b, begun) % BUCKETS for (_, _, begun, _), (_, _, _, b) in zip(own, own[1:])]
+    return np.array(sorted({h for h, _, _, _ in own}.union(pairs, (head for _, head, _, _ in own if head >= 0))), dtype=np.int64)
+
+
+@lru_cache(maxsize=200_000)
+def _hashes(word: str) -> tuple[int, int, int, bytes]:
+    """A word's bucket, that of its head (-1 for a short word), the checksum that a pair begins with, and its bytes."""
+    b = word.encode()
+    return zlib.crc32(b) % BUCKETS, zlib.crc32((word[:HEAD] + "-").encode()) % BUCKETS if len(word) > HEAD else -1, zlib.crc32(b + b" "), b
 
 
 @dataclass
@@ -69,6 +78,8 @@ class SubjectModel:
         if not n or not k:
             return np.zeros((n, k))
         row, col = np.repeat(np.arange(n), [len(x) for x in sents]), np.concatenate(sents)
+        heard = (self.weights != 0).any(1)[col]  # most n-grams have no weight for any subject
+        row, col = row[heard], col[heard]
         z = np.stack([np.bincount(row, self.weights[col, j], n) for j in range(k)], 1) + self.bias
         return 1 / (1 + np.exp(-z))
 
@@ -154,7 +165,10 @@ def tally(sections: list[list[np.ndarray]], of: np.ndarray) -> tuple[np.ndarray,
     sents, own_at = flat(sections)
     pair = distinct(np.repeat(own_at, [len(x) for x in sents]) * BUCKETS + np.concatenate(sents)) if sents else np.zeros(0, np.int64)
     section, gram = pair // BUCKETS, pair % BUCKETS
-    by = np.stack([np.bincount(gram, of[section, k], BUCKETS) for k in range(of.shape[1])], 1)
+    by = np.zeros((BUCKETS, of.shape[1]))
+    for k in range(of.shape[1]):
+        at = (of[:, k] != 0)[section]
+        by[:, k] = np.bincount(gram[at], of[section[at], k], BUCKETS)
     return np.bincount(gram, minlength=BUCKETS), by, of.sum(0), len(sections)
 
 
