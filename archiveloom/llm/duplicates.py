@@ -1,8 +1,9 @@
 """Problem 3: records that differ only in whitespace, case, punctuation or field order.
 
 Byte-identical rows collapse first (map-side, with counts); only the distinct survivors are canonicalised; the full
-canonical texts are then grouped again and the counts summed.  No group is ever gathered into one task: every aggregate
-keeps one smallest id and one count per key, and the membership of hot groups goes through a broadcast of bounded size.
+canonical texts are then grouped again and the counts summed.  A text travels once, to meet its copies; there its canonical text is
+made, and from then on 256-bit digests of the whole texts stand for them.  No group is ever gathered into one task: every
+aggregate keeps one smallest id and one count per key, and the membership of hot groups goes through broadcasts of bounded size.
 """
 
 from __future__ import annotations
@@ -51,17 +52,27 @@ def _survivors(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _canonical(df: DataFrame, key: str, text: str) -> DataFrame:
-    """One row per distinct raw text: its digest, canonical sequence and field set, smallest id and number of copies."""
-    return _survivors(df, key, text).select(
-        _digest(F.col("t")).alias("dt"), letters_and_digits(F.col("t")).alias("seq"), field_set(F.col("t")).alias("card"), "first_id", "n"
-    ).where("seq <> ''")
+    """One row per distinct raw text: the digests of it and of its canonical sequence, its field set, smallest id and number of copies."""
+    made = _survivors(df, key, text).withColumn("seq", letters_and_digits(F.col("t"))).where("seq <> ''")
+    return made.select(_digest(F.col("t")).alias("dt"), _digest(F.col("seq")).alias("ds"), field_set(F.col("t")).alias("card"), "first_id", "n")
 
 
 def _sequences(canon: DataFrame) -> DataFrame:
-    """Grouped on the full canonical text; a sequence takes the field set of any of its spellings."""
-    return canon.groupBy("seq").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"), F.max("card").alias("card")).select(
-        _digest(F.col("seq")).alias("ds"), F.coalesce(F.concat(F.lit("\u0003"), "card"), "seq").alias("full"), "first_id", "n"
-    )
+    """Grouped on the canonical text; a sequence takes the field set of any of its spellings. ``spellings`` counts them."""
+    seqs = canon.groupBy("ds").agg(F.min("first_id").alias("first_id"), F.sum("n").alias("n"), F.max("card").alias("card"), F.count("*").alias("spellings"))
+    return seqs.select("ds", F.coalesce(_digest(F.concat(F.lit("\u0003"), "card")), "ds").alias("dk"), "first_id", "n", "spellings")
+
+
+def _sets(seqs: DataFrame) -> DataFrame:
+    return seqs.groupBy("dk").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("copies"), F.count("*").alias("sequences"))
+
+
+def _placed(rows: DataFrame, table: DataFrame, key: str, times: str, bound) -> DataFrame:
+    """``rows`` joined to ``table`` (unique in ``key``). Keys that ``times`` more rows than the bound have are looked up in a broadcast (there can be HOT_KEYS
+    of them), all others meet in a shuffle."""
+    hot = table.where(F.col(times) > bound).drop(times)
+    cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(F.col(times) <= bound).drop(times), key)
+    return cold.unionByName(rows.join(F.broadcast(hot), key))
 
 
 def collapse_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -70,23 +81,19 @@ def collapse_duplicates(df: DataFrame, key: str = "doc_id", text: str = "text")
     Null keys or texts, and texts without letters or digits, belong to no set.  Equal keys count as separate rows.
     Other columns, whatever their names, are ignored; an empty table gives an empty result.
     """
-    seqs = _sequences(_canonical(df, key, text))
-    return seqs.groupBy("full").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("copies")).select("keep_id", "copies")
+    return _sets(_sequences(_canonical(df, key, text))).select("keep_id", "copies")
 
 
 def duplicate_members(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Rows (keep_id, copy_id): every member of a set but the kept one. Same cases as :func:`collapse_duplicates`."""
-    canon = _canonical(df, key, text)
-    # written once: each sequence's digests are wanted both for its set and for its members
-    seqs = settle(_sequences(canon).select("ds", _digest(F.col("full")).alias("dk"), "first_id", "n"))
-    sets = seqs.groupBy("dk").agg(F.min("first_id").alias("keep_id"), F.sum("n").alias("copies")).where("copies > 1").drop("copies")
-    slim = canon.select("dt", _digest(F.col("seq")).alias("ds"), "first_id", "n")
-    placed = settle(slim.join(seqs.join(sets, "dk").select("ds", "keep_id"), "ds").select("dt", "first_id", "n", "keep_id"))
+    # written once: from here on digests only are read
+    canon = settle(_canonical(df, key, text))
+    bound = canon.select(F.sum("n") / HOT_KEYS).first()[0] or 0.0
+    seqs = settle(_sequences(canon))
+    sets = _sets(seqs).where("copies > 1").drop("copies")
+    kept = _placed(seqs.select("ds", "dk", "spellings"), sets, "dk", "sequences", bound).select("ds", "keep_id", "spellings")
+    placed = settle(_placed(canon.select("dt", "ds", "first_id", "n"), settle(kept), "ds", "spellings", bound).select("dt", "first_id", "n", "keep_id"))
     firsts = placed.where("first_id <> keep_id").select("keep_id", F.col("first_id").alias("copy_id"))
-
-    repeated = placed.where("n > 1").select("dt", "n", "keep_id", "first_id")
-    bound = df.select((F.count("*") / HOT_KEYS).alias("m")).scalar()
-    hot = F.col("n") > bound
     rows = df.where(F.col(key).isNotNull() & F.col(text).isNotNull()).select(F.col(key).alias("copy_id"), _digest(F.col(text)).alias("dt"))
-    exact = rows.join(repeated.where(~hot), "dt").unionByName(rows.join(F.broadcast(repeated.where(hot)), "dt"))
+    exact = _placed(rows, placed.where("n > 1"), "dt", "n", bound)
     return firsts.unionByName(exact.where("copy_id <> first_id").select("keep_id", "copy_id"))

@@ -59,3 +59,12 @@ def test_against_brute_force(spark, texts):
 def test_every_order_of_fields_is_one(spark):
     rows = list(enumerate("; ".join(p) for p in permutations(CARD.split("\n"))))
     assert len(members(spark, rows)) == 5
+
+
+def test_one_text_spelled_in_100_000_ways(spark):
+    """A third of all rows and more are spellings of one canonical text: the hot key goes by the broadcast."""
+    rows = spark.range(160_000).selectExpr("id as doc_id", "case when id < 100000 then regexp_replace(concat('the same words', repeat(' ', cast(id % 7 as int)), lpad(bin(id), 17, '0')), '[01]', '.') else concat('text ', id) end as text")
+    spelled = rows.selectExpr("doc_id", "case when doc_id < 100000 then concat(text, repeat('-', cast(doc_id div 17 as int) % 97), repeat('!', cast(doc_id % 89 as int))) else text end as text")
+    got = duplicate_members(spelled)
+    assert got.where("keep_id = 0").count() == 99_999 and got.count() == 99_999
+    assert {r["keep_id"]: r["copies"] for r in collapse_duplicates(spelled).where("copies > 1").collect()} == {0: 100_000}
