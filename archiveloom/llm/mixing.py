@@ -1,7 +1,7 @@
 """Problem 9: records of several sources mixed to target shares of the total size.
 
 Systematic sampling: within a source every record has the same expected copies, their prefix sum runs over the records in order
-of size, one random offset is added (of a few drawn, the one that meets the wanted size best), and a record is emitted once per integer boundary its step crosses. The prefix sum is
+of size, one random offset is added, and a record is emitted once per integer boundary its step crosses. The prefix sum is
 taken in two levels (within small blocks, then over the blocks), so that no source is ever gathered in one task.
 """
 
@@ -14,8 +14,6 @@ from pyspark.sql.window import Window
 from archiveloom.session import settle
 
 BLOCK_ROWS = 100_000
-#: Random offsets drawn per source; the one whose tokens come nearest to the target is taken.
-OFFSETS = 32
 SEED = 20_260
 
 
@@ -35,7 +33,7 @@ def rates(totals: DataFrame, targets: DataFrame, total_tokens: float | None = No
     return rows
 
 
-def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = SEED) -> DataFrame:
+def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = None, seed: int = SEED, offsets: int = 1) -> DataFrame:
     """Rows (source, doc_id, tokens, repeat_no): one per use of a record, of ``sizes`` (doc_id, source, tokens).
 
     No record is used more than its source's ``max_repeats``. Sources without a target, and null sources, have no share and give no
@@ -61,13 +59,14 @@ def mixture(sizes: DataFrame, targets: DataFrame, total_tokens: float | None = N
     within = Window.partitionBy("source", "size_bin", "part").orderBy("tokens", "h", "doc_id")
     ranked = placed.withColumn("at", F.row_number().over(within)).join(blocks, ["source", "size_bin", "part"]).withColumn("rank", F.col("ahead") + F.col("at"))
     ranked = settle(ranked.select("source", "doc_id", "tokens", "rank"))
-    drawn = [F.pmod(F.xxhash64("source", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) for k in range(OFFSETS)]
+    drawn = [F.pmod(F.xxhash64("source", F.lit(seed), F.lit(k)), F.lit(1 << 30)) / float(1 << 30) for k in range(max(1, offsets))]
     copies = lambda offset: F.floor(F.col("rank") * F.col("rate") + offset) - F.floor((F.col("rank") - 1) * F.col("rate") + offset)
-    rated = ranked.join(F.broadcast(rate), "source")
-    sums = rated.groupBy("source", "due").agg(*[F.sum(copies(d) * F.col("tokens")).alias(f"s{k}") for k, d in enumerate(drawn)])
-    off = F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("due")).alias("off"), F.lit(k).alias("k"), d.alias("offset")) for k, d in enumerate(drawn)])
-    chosen = sums.select("source", F.array_min(off)["offset"].alias("offset"))  # one row per target
-    used = rated.join(F.broadcast(chosen), "source").withColumn("copies", copies(F.col("offset")).cast("int")).where("copies > 0")
+    rated = ranked.join(F.broadcast(rate), "source").withColumn("offset", drawn[0])
+    if len(drawn) > 1:
+        sums = rated.groupBy("source", "due").agg(*[F.sum(copies(d) * F.col("tokens")).alias(f"s{k}") for k, d in enumerate(drawn)])
+        off = F.array(*[F.struct(F.abs(F.col(f"s{k}") - F.col("due")).alias("off"), F.lit(k).alias("k"), d.alias("offset")) for k, d in enumerate(drawn)])
+        rated = rated.drop("offset").join(F.broadcast(sums.select("source", F.array_min(off)["offset"].alias("offset"))), "source")  # one row per target
+    used = rated.withColumn("copies", copies(F.col("offset")).cast("int")).where("copies > 0")
     return used.select("source", "doc_id", "tokens", F.explode(F.expr("sequence(1, copies)")).alias("repeat_no"))
 
 

@@ -2,7 +2,7 @@
 
 Bound-certified repacking: items are dealt to partitions of bounded size, each packed by best-fit decreasing. Dual feasible
 functions give a lower bound on each partition's containers; a partition that meets its bound is certified and done. The others
-keep their full containers, exchange the rest among themselves by a fresh deal, and are packed again.
+keep their full containers, exchange the rest among themselves by a fresh deal, and are packed again, until all are certified or a deal gains nothing.
 """
 
 from __future__ import annotations
@@ -16,7 +16,6 @@ from archiveloom.session import settle
 
 #: Items of a partition, on average (they are dealt by hash, so no partition is much larger).
 PARTITION_ITEMS = 20_000
-ROUNDS = 2
 
 
 def lower_bound(sizes: np.ndarray, capacity: int) -> int:
@@ -93,14 +92,15 @@ def _by_kind(counts: dict[str, int]):
     return out
 
 
-def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", partition_items: int = PARTITION_ITEMS, rounds: int = ROUNDS) -> DataFrame:
+def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", partition_items: int = PARTITION_ITEMS, rounds: int | None = None) -> DataFrame:
     """Rows (container_kind, container_id, key, piece_no, start_token, tokens, capacity, filled, certified) for ``sizes`` (key, tokens) and every
     row of ``containers`` (container_kind, capacity_tokens), a fixed table.
 
     An item above the capacity is cut into pieces of the capacity, which fill containers of their own, and a rest, which is
     packed; other items stay whole. An item without tokens takes no room and shares a container. Null keys and repeated keys are
     items like any other; null sizes have no row. Without items or containers the result is empty. ``certified``: the
-    container's partition uses no more containers than its lower bound.
+    container's partition uses no more containers than its lower bound. ``rounds`` bounds the exchanges; unbounded, a kind of container is
+    exchanged again as long as that saves any.
     """
     known = containers.where("container_kind is not null and capacity_tokens > 0").select("container_kind", F.col("capacity_tokens").cast("int").alias("capacity")).distinct().collect()
     kinds = F.array(*[F.struct(F.lit(r["container_kind"]).alias("container_kind"), F.lit(r["capacity"]).alias("capacity")) for r in sorted(known)]).cast("array<struct<container_kind:string,capacity:int>>")
@@ -116,8 +116,10 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", partition
 
     n = {r["container_kind"]: r["n"] for r in items.groupBy("container_kind").agg(F.count("*").alias("n")).collect()}
     state = settle(_dealt(items, 0, _by_kind({k: -(-v // partition_items) for k, v in n.items()})))
-    for deal in range(1, rounds + 1):
-        gap = F.col("boxes") > F.col("bound")
+    deal, gaining = 0, set(n)
+    while gaining and deal != rounds:
+        deal += 1
+        gap = F.col("container_kind").isin(sorted(gaining)) & (F.col("boxes") > F.col("bound"))
         open_ = state.where(gap & (F.col("filled") < F.col("capacity")))
         seen = open_.groupBy("container_kind").agg(F.countDistinct("deal", "part", "box").alias("boxes"), F.count("*").alias("n"), F.countDistinct("deal", "part").alias("parts"))
         before = {r["container_kind"]: r for r in seen.collect()}
@@ -126,6 +128,7 @@ def pack(sizes: DataFrame, containers: DataFrame, key: str = "doc_id", partition
         again = settle(_dealt(open_, deal, _by_kind({k: min(r["parts"], -(-r["n"] // partition_items)) for k, r in before.items()})))
         after = {r["container_kind"]: r["boxes"] for r in again.groupBy("container_kind").agg(F.countDistinct("part", "box").alias("boxes")).collect()}
         better = [k for k, m in after.items() if m < before[k]["boxes"]]
+        gaining = set(better)
         if not better:
             break
         kept = state.where(~(gap & (F.col("filled") < F.col("capacity")) & F.col("container_kind").isin(better)))

@@ -58,28 +58,35 @@ def balanced_cuts(text: str, limit: int, overlap: int) -> list[tuple[int, int]]:
     size = len(text)
     if size <= limit:
         return [(0, size)] if size else []
-    n = -(-(size - overlap) // (limit - overlap))
-    while True:
-        length = (size + (n - 1) * overlap) / n
-        reach = int((length - overlap) / 4)
-        cuts, good = [0], True
-        for i in range(1, n):
-            target = round(length + (i - 1) * (length - overlap))
-            floor = cuts[-1] + (overlap if i > 1 else 0) + 1
-            low, high = max(floor, target - reach), min(size - 1, target + reach, cuts[-1] + limit - (overlap if i > 1 else 0))
-            cut = _snap(text, min(max(target, low), high), low, high) if low <= high else 0
-            if not low <= cut <= high:
-                good = False
-                break
-            cuts.append(cut)
-        good = good and size - cuts[-1] + overlap <= limit
-        if good:
-            ends = [*cuts[1:], size]
-            return [(a - overlap if a else 0, b) for a, b in zip(cuts, ends)]
-        n += 1
-        if n > size:  # not met with an overlap under half the limit; plain equal cuts then
-            step = limit - overlap
-            return [(max(0, a), min(size, a + limit)) for a in range(0, size - overlap, step)]
+    least = -(-(size - overlap) // (limit - overlap))
+    for n in range(least, 2 * least + 4):
+        for part in (4, 2, 1):  # how far a cut may move from its target, as a part of a piece
+            if cuts := _balanced(text, limit, overlap, n, part):
+                return [(a - overlap if a else 0, b) for a, b in zip(cuts, [*cuts[1:], size])]
+    # an overlap near the limit leaves little choice: each piece in turn ends at the strongest boundary that its limit allows
+    spans, start = [], 0
+    while size - start > limit:
+        end = _snap(text, start + limit, start + overlap + 1, start + limit)
+        spans.append((start, end if start + overlap < end <= start + limit else start + limit))
+        start = spans[-1][1] - overlap
+    return [*spans, (start, size)]
+
+
+def _balanced(text: str, limit: int, overlap: int, n: int, part: int) -> list[int] | None:
+    """Where the ``n`` pieces begin, overlaps aside: equal-length targets, each snapped to the strongest boundary near it. None where a limit fails."""
+    size = len(text)
+    length = (size + (n - 1) * overlap) / n
+    reach = int((length - overlap) / part)
+    cuts = [0]
+    for i in range(1, n):
+        target = round(length + (i - 1) * (length - overlap))
+        floor = cuts[-1] + (overlap if i > 1 else 0) + 1
+        low, high = max(floor, target - reach), min(size - 1, target + reach, cuts[-1] + limit - (overlap if i > 1 else 0))
+        cut = _snap(text, min(max(target, low), high), low, high) if low <= high else 0
+        if not low <= cut <= high:
+            return None
+        cuts.append(cut)
+    return cuts if size - cuts[-1] + overlap <= limit else None
 
 
 def split_oversized(df: DataFrame, key: str, text: str, limit: int = 2048, overlap: int = 20) -> DataFrame:

@@ -45,3 +45,12 @@ def test_operator(spark, clashing):
         pieces = sorted(by[k], key=lambda r: r["piece_no"])
         assert len(pieces) == pieces[0]["n_pieces"] and all(r["piece"] == whole[k][r["start_pos"] : r["end_pos"]] and len(r["piece"]) <= 2048 for r in pieces)
     assert split_oversized(df.limit(0), "rec_no", "content").collect() == []
+
+
+@given(st.integers(2, 60), st.data(), st.text("ab .\n", min_size=1, max_size=700))
+@settings(max_examples=300, deadline=None)
+def test_any_overlap_keeps_the_limits_and_prefers_boundaries(limit, data, text):
+    overlap = data.draw(st.integers(0, limit - 1))
+    spans = balanced_cuts(text, limit, overlap)
+    assert spans[0][0] == 0 and spans[-1][1] == len(text) and all(0 < b - a <= limit for a, b in spans)
+    assert all(b - c == overlap for (_, b), (c, _) in zip(spans, spans[1:]))
