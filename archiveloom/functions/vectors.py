@@ -39,8 +39,27 @@ def hashed(texts: list[str]) -> np.ndarray:
     return out
 
 
+#: The vector of several texts together is the sum of their vectors; an embedder without this mark isn't taken for additive.
+hashed.additive = True
+
 Embedder = Callable[[list[str]], np.ndarray]
 
+EMBEDDERS: dict[str, Callable[[], Embedder]] = {"hashed": lambda: hashed}
+
+
+def register_embedder(name: str, loader: Callable[[], Embedder]) -> None:
+    """Names a loader of an embedder, so that strategies can be told which to use by name."""
+    if not name:
+        raise ValueError("an embedder needs a name")
+    EMBEDDERS[name] = loader
+
+
+def embedder(name: str) -> Callable[[], Embedder]:
+    """The loader of a registered embedder."""
+    if name not in EMBEDDERS:
+        raise ValueError(f"unknown embedder {name!r}; known: {', '.join(sorted(EMBEDDERS))}")
+    return EMBEDDERS[name]
+
 
 def embed(text: Column, loader: Callable[[], Embedder] = lambda: hashed) -> Column:
     """The vector of each text (null for null). ``loader`` is called once per worker and gives the embedder."""

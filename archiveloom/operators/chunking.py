@@ -12,9 +12,11 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from archiveloom.functions import text as T
 from archiveloom.functions.vectors import Embedder, hashed
+from archiveloom.operators.providers import propositions, segments
 from archiveloom.session import spread
 
 SHORT = 100
@@ -174,48 +176,63 @@ def chunk_semantic_capped(df: DataFrame, key: str = "doc_id", text: str = "text"
                 if len(s) < 2:
                     out.append((doc, 0, whole))
                     continue
-                start, chunks = 0, []
-                for i in b:
-                    t = " ".join(s[start : i + 1])
-                    if len(t) >= SHORT:
-                        chunks += split_group(s[start : i + 1], dist[start:i], limit) if cap == "all" else [t]
-                        start = i + 1
-                    elif chunks and dist[start - 1] < dist[i]:
-                        chunks[-1] += t
-                        start = i + 1
-                if start < len(s):
-                    chunks += split_group(s[start:], dist[start:], limit)
+                ends, chunks = set(b), []
+                for first, last, glued in walked(len(s), lambda _, i: i in ends, lambda x, y: len(" ".join(s[x:y])), lambda at, i: dist[at - 1] < dist[i]):
+                    if glued:
+                        chunks[-1] += " ".join(s[first:last])
+                    elif cap == "all" or last == len(s):
+                        chunks += split_group(s[first:last], dist[first : last - 1], limit)
+                    else:
+                        chunks.append(" ".join(s[first:last]))
                 out += [(doc, k, c) for k, c in enumerate(chunks)]
             yield pd.DataFrame(out, columns=["doc_id", "chunk_no", "chunk"])
 
     return rows.select("doc_id", "text", "sents", "d", "b").mapInPandas(run, f"doc_id {df.schema[key].dataType.simpleString()}, chunk_no int, chunk string")
 
 
+def walked(n: int, cuts: Callable[[int, int], bool], size: Callable[[int, int], int], nearer: Callable[[int, int], bool]) -> Iterator[tuple[int, int, bool]]:
+    """Groups (first, end, glued) of ``n`` sentences, where a cut may depend on where its group began: ``cuts(first, i)`` after sentence i.
+
+    A short group flows into the next one, or is glued to the one before it if that is ``nearer(first, i)``; what is left is the last group.
+    """
+    first, any_ = 0, False
+    for i in range(n - 1):
+        if not cuts(first, i):
+            continue
+        short = size(first, i + 1) < SHORT
+        if not short or any_ and nearer(first, i):
+            yield first, i + 1, short
+            first, any_ = i + 1, True
+    if first < n:
+        yield first, n, False
+
+
 def chain(sents: list[str], model: Embedder, threshold: float) -> list[str]:
-    """Cuts where the text so far is further than the threshold from the next two sentences. The vector of the text so far is the
-    sum of its sentences' vectors, which an additive embedder allows."""
+    """Cuts where the text so far is further than the threshold from the next two sentences. An embedder marked additive sums the vectors of the
+    sentences so far; any other embeds the running text anew at each step."""
     n = len(sents)
-    own = model(sents)
-    ahead = own + np.vstack([own[1:], np.zeros((1, own.shape[1]))])
-    chunks, start, so_far, gaps = [], 0, np.zeros(own.shape[1]), []
-    for i in range(n - 1):
-        so_far = so_far + own[i]
-        gap = float(_cosine_distances(so_far[None], ahead[i + 1][None])[0])
-        gaps.append(gap)
-        if gap > threshold:
-            text = ". ".join(sents[start : i + 1]) + ". "
-            if len(text) >= SHORT:
-                chunks.append(text)
-            elif chunks and i and gaps[i - 1] < gap:
-                chunks[-1] += text
-            else:
-                continue
-            start, so_far = i + 1, np.zeros(own.shape[1])
-    text = ". ".join(sents[start:]) + ". "
-    if len(text) < SHORT and chunks:
-        chunks[-1] += text
+    joined = lambda a, b: ". ".join(sents[a:b]) + ". "
+    if getattr(model, "additive", False):
+        own = model(sents)
+        ahead = own + np.vstack([own[1:], np.zeros((1, own.shape[1]))])
+        before = np.vstack([np.zeros((1, own.shape[1])), np.cumsum(own, axis=0)])
+        so_far = lambda first, i: before[i + 1] - before[first]
     else:
-        chunks.append(text)
+        ahead = model([". ".join(sents[i : i + 2]) for i in range(n)])
+        so_far = lambda first, i: model([joined(first, i + 1)])[0]
+    gaps: list[float] = []
+
+    def cuts(first: int, i: int) -> bool:
+        gaps.append(float(_cosine_distances(so_far(first, i)[None], ahead[i + 1][None])[0]))
+        return gaps[i] > threshold
+
+    chunks: list[str] = []
+    for first, end, glued in walked(n, cuts, lambda a, b: len(joined(a, b)), lambda first, i: i > 0 and gaps[i - 1] < gaps[i]):
+        text = joined(first, end)
+        if chunks and (glued or end == n and len(text) < SHORT):
+            chunks[-1] += text
+        else:
+            chunks.append(text)
     return chunks
 
 
@@ -254,14 +271,49 @@ def coherence(sets: Column) -> Column:
     return F.when(F.size(sets) > 1, F.transform(F.sequence(F.lit(0), F.size(sets) - 2), lambda i: near(F.get(sets, i), F.get(sets, i + 1)))).otherwise(F.array().cast("array<double>"))
 
 
-def chunk_topics(df: DataFrame, key: str = "doc_id", text: str = "text", stop: list[str] | None = None, threshold: float = 0.5) -> DataFrame:
-    """Cuts where the topics of neighbouring runs of sentences cohere less than the threshold."""
-    rows = _docs(df, key, text).withColumn("sents", T.split_sentences(F.col("text"), 3)).withColumn("sets", topic_sets(F.col("sents"), stop or [])).withColumn("c", coherence(F.col("sets")))
+def chunk_topics(df: DataFrame, key: str = "doc_id", text: str = "text", stop: list[str] | None = None, threshold: float = 0.5, assigned: DataFrame | None = None) -> DataFrame:
+    """Cuts where the topics of neighbouring runs of sentences cohere less than the threshold. ``assigned`` (doc_id, sets) holds a topic model's topics of each
+    run (as :func:`archiveloom.operators.topics.run_topics` gives them); without it words in hashed buckets stand for topics."""
+    rows = _docs(df, key, text).withColumn("sents", T.split_sentences(F.col("text"), 3))
+    rows = rows.withColumn("sets", topic_sets(F.col("sents"), stop or [])) if assigned is None else rows.join(assigned.select("doc_id", "sets"), "doc_id", "left")
+    rows = rows.withColumn("c", coherence(F.coalesce("sets", F.array().cast("array<array<int>>"))))
     s, c = F.col("sents"), F.col("c")
     below = F.filter(F.transform(c, lambda x, i: F.when(x < threshold, i)), lambda i: i.isNotNull())
     return _numbered(rows, _whole_if_few(s, F.col("text"), assemble(s, c, below, ". ", ". ", falling=True, merge_tail=True), 3))
 
 
+def _paragraphs(df: DataFrame, key: str, text: str) -> DataFrame:
+    """Rows (doc_id, at, para): the paragraphs of each text with their headings in line, in order."""
+    rows = _docs(df, key, text)
+    return rows.select("doc_id", F.posexplode(T.paragraphs(T.inline_headings(F.col("text")))).alias("at", "para"))
+
+
+def _renumbered(parts: DataFrame) -> DataFrame:
+    """Rows (doc_id, chunk_no, chunk) of rows (doc_id, at, chunks): numbered through each text."""
+    each = parts.select("doc_id", "at", F.posexplode("chunks").alias("within", "chunk"))
+    nth = F.row_number().over(Window.partitionBy("doc_id").orderBy("at", "within")) - 1
+    return each.select("doc_id", nth.cast("int").alias("chunk_no"), "chunk")
+
+
+def chunk_combined(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 1024, p: float = 95, around: int = 1, listed: Callable[[Column], Column] = propositions, loader: Callable[[], Embedder] = lambda: hashed) -> DataFrame:
+    """Paragraphs up to ``size`` characters stay whole; longer ones are turned into statements by a model (``listed``), whose runs are cut as in
+    :func:`chunk_semantic`. A paragraph for which the model gives no list stays whole."""
+    rows = _paragraphs(df, key, text)
+    rows = rows.withColumn("sents", F.when(F.length("para") > size, listed(F.when(F.length("para") > size, F.col("para")))))
+    rows = rows.withColumn("sents", F.coalesce("sents", F.array("para"))).withColumn("w", context_windows(F.col("sents"), around))
+    d = F.col("d")
+    rows = rows.withColumn("d", distances(F.col("w"), F.col("w"), loader))
+    chunks = assemble(F.col("sents"), d, breaks_above(d, percentile(d, p)))
+    return _renumbered(rows.withColumn("chunks", F.when(F.size("sents") < 2, F.col("sents")).otherwise(chunks)))
+
+
+def chunk_listed(df: DataFrame, key: str = "doc_id", text: str = "text", size: int = 2048, listed: Callable[[Column], Column] = segments) -> DataFrame:
+    """Paragraphs up to ``size`` characters stay whole; longer ones are parted by a model (``listed``), or stay whole where it gives no list."""
+    rows = _paragraphs(df, key, text)
+    answer = listed(F.when(F.length("para") > size, F.col("para")))
+    return _renumbered(rows.withColumn("chunks", F.coalesce(F.when(F.length("para") > size, answer), F.array("para"))))
+
+
 def size_routed(df: DataFrame, chunker: Callable[[DataFrame], DataFrame], key: str = "doc_id", text: str = "text", drop: int = 200, whole: int = 1024) -> DataFrame:
     """Texts up to ``drop`` characters go, those below ``whole`` stay whole, the rest is chunked: the cheap filter comes before the model."""
     rows = df.where(F.length(text) > drop)
@@ -340,6 +392,11 @@ def chunk_recursive(df: DataFrame, key: str = "doc_id", text: str = "text", size
     return _numbered(rows, cut(F.col("text")))
 
 
+def longer_than(chunks: DataFrame, least: int = 100) -> DataFrame:
+    """Chunks of more than so many characters; the others go, and the rest keep their numbers."""
+    return chunks.where(F.length("chunk") > least)
+
+
 def nodes(chunks: DataFrame) -> DataFrame:
     """Rows (node_id, doc_id, chunk_no, text): indexable nodes with ids that follow from their content."""
     node_id = F.sha2(F.concat_ws("\u0001", F.col("doc_id").cast("string"), F.col("chunk_no").cast("string"), "chunk"), 256)
@@ -348,7 +405,7 @@ def nodes(chunks: DataFrame) -> DataFrame:
 
 STRATEGIES = {
     "char": chunk_tokens, "sentence": chunk_sentences, "recursive": chunk_recursive, "semantic": chunk_semantic, "semantic_max": chunk_semantic_capped,
-    "semantic_pairs": chunk_pairs, "chain": chunk_chain, "topic": chunk_topics,
+    "semantic_pairs": chunk_pairs, "chain": chunk_chain, "topic": chunk_topics, "combined": chunk_combined, "llm": chunk_listed,
 }
 
 

@@ -6,10 +6,12 @@ from pyspark.sql import functions as F
 
 from archiveloom.functions.vectors import hashed
 from archiveloom.operators import metrics as M
+from archiveloom.operators import providers
 from archiveloom.operators import reporting as R
 from archiveloom.operators import retrieval as S
 from archiveloom.operators import topics
 from archiveloom.plans.registry import query, table
+from archiveloom.plans.text_queries import STRIP
 
 #: The stated query set: every row whose id divides by 20 (of a hexadecimal id, its first eight digits).
 HEX_20 = "('0x' || substr(qid, 1, 8))::BIGINT % 20 = 0"
@@ -103,6 +105,39 @@ def retrieval_evaluation(spark, folder):
     return per.agg(F.count("*").alias("n_queries"), F.round(F.avg("hit_rate"), 6).alias("hit_rate"), F.round(F.avg("mrr"), 6).alias("mrr"))
 
 
+ENGINE = (
+    BM25
+    + rf""", told AS (SELECT top.qid, string_agg(c.text, chr(10) || chr(10) ORDER BY rank) AS passages, string_agg(top.node_id, '|' ORDER BY rank) AS node_ids, any_value(q.text) AS question
+    FROM top JOIN c USING (node_id) JOIN qa_queries q USING (qid) WHERE rank <= 3 GROUP BY top.qid),
+answered AS (SELECT qid, node_ids, question, passages, regexp_replace(string_split('Question: ' || question || chr(10) || 'Passages:' || chr(10) || passages, ':' || chr(10))[-1], {STRIP}) AS answer FROM told)"""
+)
+
+
+@query(ENGINE + " SELECT qid, node_ids, len(answer) AS n_chars, md5(answer) AS digest FROM answered")
+def query_engine(spark, folder):
+    """Questions answered from the three best passages (the default model answers with the passages themselves)."""
+    made = providers.query_engine(_asked(spark, folder), _corpus(spark, folder), S.bm25_topk)
+    return made.select("qid", F.array_join("node_ids", "|").alias("node_ids"), F.length("answer").cast("bigint").alias("n_chars"), F.md5("answer").alias("digest"))
+
+
+JUDGED = r"""
+WITH c AS (SELECT node_id, min(text) AS text FROM qa_corpus WHERE text IS NOT NULL GROUP BY node_id),
+rows AS (SELECT DISTINCT r.qid, r.node_id, q.text AS question, c.text AS passages, regexp_replace(c.text, '[\s\x0b\p{Z}\x{85}]+', ' ', 'g') AS answer FROM qa_qrels r JOIN qa_queries q USING (qid) JOIN c USING (node_id) WHERE q.text IS NOT NULL),
+words AS (SELECT *, regexp_extract_all(lower(question), '[\p{L}]{6,}') AS q, regexp_extract_all(lower(passages), '[\p{L}]{6,}') AS p, regexp_extract_all(lower(answer), '[\p{L}]{6,}') AS a FROM rows)
+SELECT count(*) AS n, round(avg(list_has_any(p, a)::INT), 6) AS faithful, round(avg(list_has_any(q, a)::INT), 6) AS relevant FROM words"""
+
+
+@query(JUDGED)
+def judged_answers(spark, folder):
+    """The share of answers that a judge calls faithful and relevant. (The answers are the relevant passages; the judge is a stand-in that looks for a common word.)"""
+    asked = table(spark, folder, "qa_queries").where("text is not null").select("qid", F.col("text").alias("question"))
+    told = _corpus(spark, folder).select("node_id", F.col("text").alias("passages"), F.regexp_replace("text", r"(?U)\s+", " ").alias("answer"))
+    rows = table(spark, folder, "qa_qrels").select("qid", "node_id").distinct().join(asked, "qid").join(told, "node_id")
+    judged = providers.judged_answers(rows, "question", "answer", "passages")
+    mean = lambda c: F.round(F.avg(F.col(c).cast("int")), 6).alias(c)
+    return judged.agg(F.count("*").alias("n"), mean("faithful"), mean("relevant"))
+
+
 @query(
     """
 WITH v AS (SELECT vec_id // 10 AS g, embedding::DOUBLE[] AS v FROM embeddings WHERE embedding IS NOT NULL), q AS (SELECT row_number() OVER () AS i, v FROM v WHERE g = 0)

@@ -13,6 +13,7 @@ from archiveloom.operators import providers
 from archiveloom.operators.retrieval import graph_topk
 from archiveloom.plans.registry import query, table
 from archiveloom.session import checkpoint_dir
+from archiveloom.sources import readers
 from archiveloom.streaming import pipelines
 
 #: A question as plain words, so that every engine quotes it alike.
@@ -139,9 +140,76 @@ def community_answers(spark, folder):
     return providers.answer_communities(texts, "What is asked").select(F.length("answer").cast("bigint").alias("n_chars"))
 
 
+TWO_WORDS = r"""SELECT qid, w[1] AS a, list_filter(w, lambda x: x <> w[1])[1] AS b FROM (SELECT qid, regexp_extract_all(text, '[\p{L}]{6,}') AS w FROM qa_queries WHERE text IS NOT NULL)"""
+
+
+@query(f"SELECT qid, 2::BIGINT AS pos, a AS subject, 'Stands Beside' AS predicate, b AS object FROM ({TWO_WORDS}) WHERE b IS NOT NULL")
+def extracted_triplets(spark, folder):
+    """Triples that a model finds in the questions (a stand-in that names two words of each)."""
+    made = providers.extract_triplets(_questions(spark, folder).select("qid", "text"), "qid", "text")
+    return made.withColumn("pos", F.col("pos").cast("bigint"))
+
+
+@query(f"SELECT qid, a AS source, b AS target, 'beside' AS relation, 'in one text' AS description FROM ({TWO_WORDS}) WHERE b IS NOT NULL")
+def extracted_graph(spark, folder):
+    """Relations that a model finds in the questions (a stand-in that names two words of each)."""
+    return providers.extract_graph(_questions(spark, folder).select("qid", "text"), "qid", "text")[1]
+
+
 def _scratch(spark, name: str) -> str:
-    """A fresh folder for a stream's state, in the shared folder."""
-    return os.path.join(checkpoint_dir(spark), "streams", f"{name}-{uuid.uuid4().hex}")
+    """A fresh folder in the shared one, for a stream's state or a table."""
+    return os.path.join(checkpoint_dir(spark), "scratch", f"{name}-{uuid.uuid4().hex}")
+
+
+def _tree(spark, folder):
+    """A tree of text files: one for each nation, of two lines, in a folder by its name."""
+    path = _scratch(spark, "tree")
+    rows = table(spark, folder, "nation").join(table(spark, folder, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows.select("n_nationkey", F.concat_ws("\n", "n_name", "r_name").alias("value")).write.partitionBy("n_nationkey").text(path)
+    return path
+
+
+@query("SELECT md5(n_name || chr(10) || r_name || chr(10)) AS digest FROM nation JOIN region ON r_regionkey = n_regionkey")
+def source_text_files(spark, folder):
+    """Whole files of a tree."""
+    return readers.text_files(spark, _tree(spark, folder), "*.txt").select(F.md5("text").alias("digest"))
+
+
+@query("SELECT line_no, md5(line || chr(10)) AS digest FROM (SELECT 0::BIGINT AS line_no, n_name AS line FROM nation UNION ALL SELECT 1, r_name FROM nation JOIN region ON r_regionkey = n_regionkey)")
+def source_wiki_lines(spark, folder):
+    """Lines of files in order."""
+    return readers.wiki_lines(spark, _tree(spark, folder), "*.txt").select("line_no", F.md5("line").alias("digest"))
+
+
+@query("SELECT rec_no, 'archive' AS dataset, 'raw' AS strategy FROM archive_records")
+def source_tables(spark, folder):
+    """A table written by how it was made, and read again by that."""
+    path = _scratch(spark, "tables")
+    rows = table(spark, folder, "archive_records").select("rec_no")
+    readers.write_table(rows, path, dataset="archive", strategy="raw")
+    readers.write_table(rows.where("rec_no % 2 = 0"), path, dataset="archive", strategy="other")
+    return readers.read_table(spark, path, dataset="archive", strategy="raw").select("rec_no", "dataset", "strategy")
+
+
+@query(EDGES)
+def graph_dump(spark, folder):
+    """A graph's edges as CSV and back."""
+    path = _scratch(spark, "edges")
+    readers.write_edges(_qrels_edges(spark, folder), path)
+    return spark.read.option("header", True).csv(path)
+
+
+@query("SELECT source, count(*) AS n FROM documents WHERE source IS NOT NULL GROUP BY source")
+def memoised_summary(spark, folder):
+    """A summary built once for a run; the second call reads what the first one wrote."""
+    path = _scratch(spark, "summary")
+    build = lambda: table(spark, folder, "documents").where("source is not null").groupBy("source").agg(F.count("*").alias("n"))
+    readers.once(spark, path, build)
+
+    def never():
+        raise AssertionError("the table is there already")
+
+    return readers.once(spark, path, never)
 
 
 def _stream(spark, folder, name):

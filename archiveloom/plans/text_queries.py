@@ -43,9 +43,9 @@ def sentences_split_min3(spark, folder):
     return docs(spark, folder).select("doc_id", *_digest(T.split_sentences(F.col("text"), 3)))
 
 
-@query(f"SELECT doc_id FROM documents WHERE regexp_matches(text, '{GARBLED_RE2}')")
+@query(f"SELECT rec_no FROM archive_records WHERE regexp_matches(content, '{GARBLED_RE2}')")
 def garbled_docs(spark, folder):
-    return docs(spark, folder).where(T.is_garbled(F.col("text"))).select("doc_id")
+    return table(spark, folder, "archive_records").where(T.is_garbled(F.col("content"))).select("rec_no")
 
 
 @query(
@@ -133,7 +133,7 @@ def paged_titles(spark, folder):
 WIKI = "replace(text, chr(10) || chr(10), chr(10) || ' ' || chr(10) || ' = part = ' || chr(10))"
 
 
-def _wiki_text():
+def wiki_text():
     return F.replace("text", F.lit("\n\n"), F.lit("\n \n = part = \n"))
 
 
@@ -145,7 +145,7 @@ numbered AS (SELECT *, coalesce(sum(cut::INT) OVER (PARTITION BY file ORDER BY l
 SELECT file, article_no, min(line_no) AS first_line, count(*) AS n_lines, md5(string_agg(line, '' ORDER BY line_no)) AS digest FROM numbered GROUP BY file, article_no"""
 )
 def article_segmentation(spark, folder):
-    lines = docs(spark, folder).select(F.col("doc_id").alias("file"), F.posexplode(F.split(_wiki_text(), "\n")).alias("line_no", "line"))
+    lines = docs(spark, folder).select(F.col("doc_id").alias("file"), F.posexplode(F.split(wiki_text(), "\n")).alias("line_no", "line"))
     made = X.wiki_articles(lines.withColumn("line", F.concat("line", F.lit("\n"))))
     return made.select("file", F.col("article_no").cast("bigint").alias("article_no"), F.col("first_line").cast("bigint").alias("first_line"), "n_lines", F.md5("text").alias("digest"))
 
@@ -155,7 +155,7 @@ def article_segmentation(spark, folder):
     SELECT doc_id, string_split(replace({WIKI}, '= ' || chr(10), ' : '), chr(10) || ' =') AS p FROM documents WHERE text IS NOT NULL)"""
 )
 def paragraphs_split(spark, folder):
-    return docs(spark, folder).select("doc_id", *_digest(T.paragraphs(T.inline_headings(_wiki_text()))))
+    return docs(spark, folder).select("doc_id", *_digest(T.paragraphs(T.inline_headings(wiki_text()))))
 
 
 @query("SELECT CASE WHEN contains(title, 'ENG') OR contains(title, 'annual-report') OR contains(title, '-en-') THEN 'ENG' ELSE 'FR' END AS language, count(*) AS n FROM archive_records GROUP BY 1")

@@ -57,6 +57,16 @@ def read_table(spark: SparkSession, path: str, **made: str) -> DataFrame:
     return df
 
 
+def once(spark: SparkSession, path: str, build: Callable[[], DataFrame]) -> DataFrame:
+    """The table at ``path``, built and written only where it isn't there yet (summaries, answers and the like, by run). A build that
+    broke off left no mark of success and is made anew."""
+    files = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = files.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(files, "_SUCCESS")):
+        build().write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def write_edges(df: DataFrame, path: str) -> None:
     """A graph's edges as CSV, for tools outside."""
     df.write.mode("overwrite").option("header", True).csv(path)

@@ -175,3 +175,79 @@ def test_cap_on_every_group(spark):
     assert all(len(c) <= 400 or sum(s in c for s in sents) <= 2 for c in capped)
     free = [r["chunk"] for r in C.chunk_semantic_capped(df, limit=10**6).orderBy("chunk_no").collect()]
     assert free == [r["chunk"] for r in C.chunk_semantic(df, p=90).orderBy("chunk_no").collect()]
+
+
+def walk(sents, model, threshold):
+    """The chained strategy by definition: the running text is embedded anew for each sentence."""
+    near = lambda a, b: 1 - (float(a @ b) / (a @ a * (b @ b)) ** 0.5 if a @ a and b @ b else 0.0)
+    chunks, text, gaps = [], "", []
+    for i in range(len(sents) - 1):
+        text += sents[i] + ". "
+        gaps.append(near(model([text])[0], model([". ".join(sents[i + 1 : i + 3])])[0]))
+        if gaps[i] > threshold:
+            if len(text) >= 100:
+                chunks.append(text)
+            elif chunks and i and gaps[i - 1] < gaps[i]:
+                chunks[-1] += text
+            else:
+                continue
+            text = ""
+    text += sents[-1] + ". "
+    if len(text) < 100 and chunks:
+        chunks[-1] += text
+    else:
+        chunks.append(text)
+    return chunks
+
+
+def letters(texts):
+    """An embedder that isn't additive: the shares of letters, and the length."""
+    import numpy as np
+
+    return np.array([[t.lower().count(c) / (len(t) + 1) for c in "etaoinshr"] + [len(t) ** 0.5 / 40] for t in texts])
+
+
+@pytest.mark.parametrize("seed", range(6))
+@pytest.mark.parametrize("threshold", [0.01, 0.05, 0.3])
+def test_chain_by_definition(seed, threshold):
+    import random
+
+    from archiveloom.functions.vectors import hashed
+    from archiveloom.operators.chunking import chain
+
+    rng = random.Random(seed)
+    words = "wells ropes lamps boats pumps roads carts tents bricks seeds the of near".split()
+    sents = [" ".join(rng.choice(words) for _ in range(rng.randint(1, 14))) for _ in range(rng.randint(2, 25))]
+    for model in (hashed, letters):
+        assert chain(sents, model, threshold) == walk(sents, model, threshold)
+
+
+def test_every_strategy_has_a_name(spark):
+    from archiveloom.functions.vectors import embedder, register_embedder
+    from archiveloom.operators.chunking import STRATEGIES, chunk, longer_than
+
+    df = spark.createDataFrame([(1, "The wells were dry.\nThe road was long.\n" * 9), (2, "short"), (3, ""), (4, None)], "doc_id bigint, text string")
+    for name in STRATEGIES:
+        got = chunk(df, name).collect()
+        assert {r["doc_id"] for r in got} == {1, 2} and all(r["chunk"] for r in got)
+    assert longer_than(chunk(df, "char"), 100).count() == 1
+    register_embedder("letters", lambda: letters)
+    assert embedder("letters")() is letters and chunk(df, "chain", loader=embedder("hashed")).count() >= 2
+    with pytest.raises(ValueError):
+        embedder("none such")
+
+
+def test_models_part_long_paragraphs(spark):
+    from pyspark.sql import functions as F
+
+    from archiveloom.operators import providers
+    from archiveloom.operators.chunking import chunk_combined, chunk_listed
+
+    text = "Short one.\n = Wells = \n" + " ".join(f"Sentence {i} tells of the wells and of the road." for i in range(12))
+    df = spark.createDataFrame([(1, text)], "doc_id bigint, text string")
+    listed = lambda t: providers.segments(t, loader=lambda: providers.listing)
+    parts = [r["chunk"] for r in chunk_listed(df, size=100, listed=listed).orderBy("chunk_no").collect()]
+    assert len(parts) == 13 and parts[0] == "Short one."
+    assert [r["chunk"] for r in chunk_listed(df, size=100).orderBy("chunk_no").collect()][0] == "Short one."  # a model without a list leaves it whole
+    made = chunk_combined(df, size=100, listed=lambda t: providers.propositions(t, loader=lambda: providers.listing))
+    assert made.agg(F.max("chunk_no") + 1).first()[0] == made.count() and made.count() < 13
