@@ -5,32 +5,63 @@ from __future__ import annotations
 from pyspark.ml import Pipeline
 from pyspark.ml.classification import GBTClassifier, LogisticRegression
 from pyspark.ml.clustering import LDA
-from pyspark.ml.feature import CountVectorizer, StringIndexer
+from pyspark.ml.feature import HashingTF, StringIndexer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from archiveloom.functions import text as T
 from archiveloom.functions.vectors import embed
+from archiveloom.session import settle, spread
 
 
-def lda_topics(df: DataFrame, text: str, stop: list[str], topics: int = 10, words: int = 10, rounds: int = 15, seed: int = 11, vocabulary: int = 20_000) -> DataFrame:
-    """Rows (topic, place, word, weight): the leading words of each topic of a corpus."""
-    tokens = df.select(T.simple_tokens(F.col(text), stop).alias("tokens")).where("size(tokens) > 0")
-    counter = CountVectorizer(inputCol="tokens", outputCol="features", vocabSize=vocabulary).fit(tokens)
-    model = LDA(k=topics, maxIter=rounds, seed=seed).fit(counter.transform(tokens))
-    vocab = F.array(*[F.lit(w) for w in counter.vocabulary])
-    rows = model.describeTopics(words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t"))
-    return rows.select("topic", "place", F.element_at(vocab, F.col("t.termIndices") + 1).alias("word"), F.col("t.termWeights").alias("weight"))
+#: Buckets that words are hashed into: every word of a corpus counts, however many there are.
+WORD_BUCKETS = 1 << 18
 
 
-def document_topics(df: DataFrame, key: str, text: str, stop: list[str], topics: int = 5, rounds: int = 5, least: float = 0.05, top: int = 3, seed: int = 11) -> DataFrame:
-    """Rows (key, topics): each text's leading topics of one model of the whole corpus, of at least a share, best first."""
-    tokens = df.select(F.col(key), T.topic_tokens(F.col(text), stop).alias("tokens")).where("size(tokens) > 0")
-    model = Pipeline(stages=[CountVectorizer(inputCol="tokens", outputCol="features"), LDA(k=topics, maxIter=rounds, seed=seed)]).fit(tokens)
+def _buckets_of(words: DataFrame, buckets: int) -> DataFrame:
+    """``words`` (word) with ``termIndices``, the bucket of each."""
+    place = F.udf(lambda v: int(v.indices[0]), "int")
+    return HashingTF(inputCol="w", outputCol="v", numFeatures=buckets).transform(words.withColumn("w", F.array("word"))).withColumn("termIndices", place("v")).drop("w", "v")
+
+
+def lda_topics(df: DataFrame, text: str, stop: list[str], topics: int = 10, words: int = 10, rounds: int = 15, seed: int = 11, buckets: int = WORD_BUCKETS) -> DataFrame:
+    """Rows (topic, place, word, weight): the leading words of each topic of a corpus. Words are hashed into ``buckets``; a bucket goes by the word that
+    is most frequent in it."""
+    tokens = settle(spread(df.select(T.simple_tokens(F.col(text), stop).alias("tokens")).where("size(tokens) > 0")))
+    model = LDA(k=topics, maxIter=rounds, seed=seed).fit(HashingTF(inputCol="tokens", outputCol="features", numFeatures=buckets).transform(tokens))
+    found = model.describeTopics(words).select("topic", F.posexplode(F.arrays_zip("termIndices", "termWeights")).alias("place", "t")).select("topic", "place", "t.*")
+    counted = tokens.select(F.explode("tokens").alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    named = _buckets_of(counted, buckets).join(F.broadcast(found.select("termIndices").distinct()), "termIndices", "left_semi")  # words of the leading buckets
+    named = named.groupBy("termIndices").agg(F.max_by("word", F.struct("n", "word")).alias("word"))
+    return found.join(named, "termIndices").select("topic", "place", "word", F.col("termWeights").alias("weight"))
+
+
+def _leading(least: float, top: int):
     shares = F.transform(vector_to_array("topicDistribution"), lambda p, i: F.struct((-p).alias("p"), i.alias("topic")))
     best = F.slice(F.array_sort(F.filter(shares, lambda s: s["p"] <= -least)), 1, top)
-    return model.transform(tokens).select(key, F.transform(best, lambda s: s["topic"]).alias("topics"))
+    return F.transform(best, lambda s: s["topic"])
+
+
+def _model(tokens: DataFrame, topics: int, rounds: int, seed: int, buckets: int):
+    return Pipeline(stages=[HashingTF(inputCol="tokens", outputCol="features", numFeatures=buckets), LDA(k=topics, maxIter=rounds, seed=seed)]).fit(tokens)
+
+
+def document_topics(df: DataFrame, key: str, text: str, stop: list[str], topics: int = 5, rounds: int = 5, least: float = 0.05, top: int = 3, seed: int = 11, buckets: int = WORD_BUCKETS) -> DataFrame:
+    """Rows (key, topics): each text's leading topics of one model of the whole corpus, of at least a share, best first."""
+    tokens = settle(spread(df.select(F.col(key), T.topic_tokens(F.col(text), stop).alias("tokens")).where("size(tokens) > 0")))
+    return _model(tokens, topics, rounds, seed, buckets).transform(tokens).select(key, _leading(least, top).alias("topics"))
+
+
+def run_topics(df: DataFrame, key: str, text: str, stop: list[str], topics: int = 5, rounds: int = 5, least: float = 0.05, top: int = 3, seed: int = 11, buckets: int = WORD_BUCKETS) -> DataFrame:
+    """Rows (doc_id, sets): for :func:`archiveloom.operators.chunking.chunk_topics`, the leading topics of each sentence by one topic model of all sentences, joined
+    over runs of three sentences of a text (the last two stand alone)."""
+    sents = spread(df.where(F.col(text).isNotNull() & (F.col(text) != "")).select(F.col(key).alias("doc_id"), F.posexplode(T.split_sentences(F.col(text), 3)).alias("i", "sentence")))
+    each = settle(sents.select("doc_id", "i", T.topic_tokens(F.col("sentence"), stop).alias("tokens")))
+    told = _model(each.where("size(tokens) > 0"), topics, rounds, seed, buckets).transform(each).select("doc_id", "i", F.when(F.size("tokens") > 0, _leading(least, top)).otherwise(F.array().cast("array<int>")).alias("topics"))
+    # the sentences of one text
+    own = told.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "topics"))), lambda x: x["topics"]).alias("each"))
+    return own.select("doc_id", F.transform("each", lambda x, i: F.when(i < F.size("each") - 2, F.array_distinct(F.flatten(F.slice("each", i + 1, 3)))).otherwise(x)).alias("sets"))
 
 
 def topic_groups(df: DataFrame, topic: str, doc: str) -> DataFrame:

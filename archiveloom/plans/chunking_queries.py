@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from archiveloom.operators import chunking as C
 from archiveloom.operators import providers as P
+from archiveloom.operators import topics
 from archiveloom.plans.registry import query, table
 from archiveloom.plans.text_queries import MARKED_SENTS, SENTS, SENTS3, SPACE, STRIP, WIKI, docs, stop_words, wiki_text
 
@@ -218,6 +219,13 @@ def chunks_topic(spark, folder):
     return _report(C.chunk_topics(docs(spark, folder), stop=stop_words(spark, folder)))
 
 
+@query()
+def chunks_lda(spark, folder):
+    """The topic strategy with the topics of a topic model."""
+    rows, stop = docs(spark, folder), stop_words(spark, folder)
+    return _report(C.chunk_topics(rows, assigned=topics.run_topics(rows, "doc_id", "text", stop)))
+
+
 TOKENS = rf"list_filter(regexp_split_to_array(text, '{SPACE}+'), lambda x: x <> '')"
 TOKEN_CHUNKS = f"""SELECT doc_id, list_transform(range(0, greatest(len(w) - 21, 0) + 1, 108), lambda i: array_to_string(list_slice(w, i + 1, i + 128), ' ')) AS c
     FROM (SELECT doc_id, {TOKENS} AS w FROM documents WHERE text IS NOT NULL AND text <> '') WHERE len(w) > 0"""

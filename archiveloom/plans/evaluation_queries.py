@@ -324,7 +324,7 @@ def score_pivot(spark, folder):
 def lda_topics(spark, folder):
     from archiveloom.plans.text_queries import docs, stop_words
 
-    return topics.lda_topics(docs(spark, folder), "text", stop_words(spark, folder), topics=10, rounds=5).withColumn("weight", F.round("weight", 6))
+    return topics.lda_topics(docs(spark, folder), "text", stop_words(spark, folder)).withColumn("weight", F.round("weight", 6))
 
 
 @query()

@@ -251,3 +251,24 @@ def test_models_part_long_paragraphs(spark):
     assert [r["chunk"] for r in chunk_listed(df, size=100).orderBy("chunk_no").collect()][0] == "Short one."  # a model without a list leaves it whole
     made = chunk_combined(df, size=100, listed=lambda t: providers.propositions(t, loader=lambda: providers.listing))
     assert made.agg(F.max("chunk_no") + 1).first()[0] == made.count() and made.count() < 13
+
+
+def test_topics_of_a_model_cut_where_they_change(spark):
+    from archiveloom.operators.chunking import chunk_topics
+    from archiveloom.operators.topics import lda_topics, run_topics
+
+    sport = "The runners crossed the stadium while swimmers trained.\n"
+    water = "The boreholes supplied cisterns and pumping stations.\n"
+    df = spark.createDataFrame([(i, sport * 6 + water * 6) for i in range(12)], "doc_id bigint, text string")
+    sets = run_topics(df, "doc_id", "text", ["the", "and"], topics=2, rounds=30)
+    assert {len(r["sets"]) for r in sets.collect()} == {12}
+    chunks = chunk_topics(df, assigned=sets)
+    assert chunks.where("doc_id = 0").count() >= 1 and chunks.select("doc_id").distinct().count() == 12
+    fixed = spark.createDataFrame([(0, [[0]] * 6 + [[1]] * 6)], "doc_id bigint, sets array<array<int>>")
+    cut = [r["chunk"] for r in chunk_topics(df.where("doc_id = 0"), assigned=fixed).orderBy("chunk_no").collect()]
+    assert len(cut) == 2 and "runners" in cut[0] and "runners" not in cut[1]
+    words = {r["word"] for r in lda_topics(df, "text", ["the", "and"], topics=2, words=4).collect()}
+    assert words <= set("runners crossed stadium while swimmers trained boreholes supplied cisterns pumping stations".split()) and len(words) >= 4
+    # more words than any fixed vocabulary would hold, and none is dropped
+    many = spark.range(400).selectExpr("id as doc_id", "concat_ws(' ', transform(sequence(0, 99), x -> concat('word', chr(cast(97 + x % 26 as int)), chr(cast(97 + id % 26 as int)), chr(cast(97 + id div 26 as int))))) as text")
+    assert lda_topics(many, "text", [], topics=2, words=3, rounds=2).count() == 6
