@@ -66,9 +66,10 @@ def _gives(community: object, turn: int) -> bool:
     return int(hashlib.md5(f"{community}|{turn}".encode()).hexdigest()[0], 16) % 2 == 1
 
 
-def modularity_communities(pairs: list[tuple], limit: int | None = None) -> dict:
+def modularity_communities(pairs: list[tuple], limit: int | None = None, resolution: int = 1) -> dict:
     """Communities of one small graph by rounds of moves to the neighbouring community of the greatest modularity gain (ties: the smallest);
-    communities above ``limit`` are split again. The name of a community is its smallest vertex.
+    communities above ``limit`` are split again, and where that leaves one whole (a clique, a star), at twice the ``resolution``, at which a community must
+    hold together the better, until none is above it. The name of a community is its smallest vertex.
 
     In a round each community either gives or takes, so that no two swap. Moves are taken by gain, each less the most that those
     before it to the same or from the same community could cost it, so every move gains; it ends when none is left. Gains are whole numbers.
@@ -89,9 +90,9 @@ def modularity_communities(pairs: list[tuple], limit: int | None = None) -> dict
             for n in ns:
                 inside[own[n]] += 1
             here, k = own[v], len(ns)
-            stay = inside.pop(here, 0) * m2 - (weight[here] - k) * k
+            stay = inside.pop(here, 0) * m2 - resolution * (weight[here] - k) * k
             if inside:
-                lost, best = min((weight[c] * k - n * m2, c) for c, n in inside.items())
+                lost, best = min((resolution * weight[c] * k - n * m2, c) for c, n in inside.items())
                 if -lost > stay:
                     moves.append((lost + stay, v, here, best, k))
         if not moves:
@@ -99,7 +100,7 @@ def modularity_communities(pairs: list[tuple], limit: int | None = None) -> dict
         before: dict = defaultdict(int)
         taken = []
         for lost, v, here, best, k in sorted(m for m in moves if _gives(m[2], turn) and not _gives(m[3], turn)):
-            if -lost - k * (before[here] + before[best]) > 0:
+            if -lost - resolution * k * (before[here] + before[best]) > 0:
                 taken.append((v, here, best, k))
             before[here] += k
             before[best] += k
@@ -113,9 +114,10 @@ def modularity_communities(pairs: list[tuple], limit: int | None = None) -> dict
         groups[c].append(v)
     out = {}
     for members in groups.values():
-        if limit and len(members) > limit and len(members) < len(near):
+        if limit and len(members) > limit:
             inner = set(members)
-            out |= modularity_communities([(a, b) for a in members for b in near[a] if b in inner and a < b], limit)
+            finer = resolution * 2 if len(members) == len(near) else resolution
+            out |= modularity_communities([(a, b) for a in members for b in near[a] if b in inner and a < b], limit, finer)
             out |= {v: v for v in members if v not in out}
         else:
             out |= dict.fromkeys(members, min(members))
@@ -123,8 +125,9 @@ def modularity_communities(pairs: list[tuple], limit: int | None = None) -> dict
 
 
 def _moved(links: DataFrame) -> DataFrame:
-    """Rows (piece, vertex, community): the moves of :func:`modularity_communities` for each piece of links (piece, src, dst), both ways each."""
-    total = links.groupBy("piece").agg(F.count("*").alias("m2"))
+    """Rows (piece, vertex, community): the moves of :func:`modularity_communities` for each piece of links (piece, fine, src, dst), both ways each, at
+    the resolution ``fine`` of the piece."""
+    total = links.groupBy("piece").agg(F.count("*").alias("m2"), F.first("fine").alias("fine"))
     own = settle(links.groupBy("piece", F.col("src").alias("vertex")).agg(F.count("*").alias("k")).join(total, "piece").withColumn("here", F.col("vertex")))
     odd = lambda c, turn: F.substring(F.md5(F.concat(F.col(c).cast("string"), F.lit(f"|{turn}"))), 1, 1).isin(*"13579bdf")
     turn = 0
@@ -133,35 +136,35 @@ def _moved(links: DataFrame) -> DataFrame:
         inside = links.join(own.select(F.col("vertex").alias("dst"), F.col("here").alias("c")), "dst").groupBy(F.col("src").alias("vertex"), "c").agg(F.count("*").alias("n"))
         held = inside.join(own, "vertex").join(weight.withColumnRenamed("here", "c"), "c").join(weight.withColumnRenamed("w", "w_here"), "here")
         same = F.col("c") == F.col("here")
-        lost = F.when(~same, F.col("w") * F.col("k") - F.col("n") * F.col("m2"))
-        stay = F.coalesce(F.max(F.when(same, F.col("n") * F.col("m2"))), F.lit(0)) - (F.first("w_here") - F.first("k")) * F.first("k")
-        best = held.groupBy("vertex", "here", "k").agg(F.min(F.when(~same, F.struct(lost.alias("lost"), F.col("c").alias("best")))).alias("b"), stay.alias("stay"))
-        moves = settle(best.select("vertex", "here", "k", "b.best", (F.col("b.lost") + F.col("stay")).alias("lost")).where("lost < 0"))
+        lost = F.when(~same, F.col("fine") * F.col("w") * F.col("k") - F.col("n") * F.col("m2"))
+        stay = F.coalesce(F.max(F.when(same, F.col("n") * F.col("m2"))), F.lit(0)) - F.first("fine") * (F.first("w_here") - F.first("k")) * F.first("k")
+        best = held.groupBy("vertex", "here", "k", "fine").agg(F.min(F.when(~same, F.struct(lost.alias("lost"), F.col("c").alias("best")))).alias("b"), stay.alias("stay"))
+        moves = settle(best.select("vertex", "here", "k", "fine", "b.best", (F.col("b.lost") + F.col("stay")).alias("lost")).where("lost < 0"))
         if moves.isEmpty():
             return own.select("piece", "vertex", F.col("here").alias("community"))
         before = lambda c: F.coalesce(F.sum("k").over(Window.partitionBy(c).orderBy("lost", "vertex").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
         while moves.where(odd("here", turn) & ~odd("best", turn)).isEmpty():
             turn += 1
-        turned = moves.where(odd("here", turn) & ~odd("best", turn)).withColumn("spent", before("here") + before("best")).where("-lost - k * spent > 0")
-        own = settle(own.join(turned.select("vertex", "best"), "vertex", "left").select("piece", "vertex", "k", "m2", F.coalesce("best", "here").alias("here")))
+        turned = moves.where(odd("here", turn) & ~odd("best", turn)).withColumn("spent", before("here") + before("best")).where("-lost - fine * k * spent > 0")
+        own = settle(own.join(turned.select("vertex", "best"), "vertex", "left").select("piece", "vertex", "k", "m2", "fine", F.coalesce("best", "here").alias("here")))
         turn += 1
 
 
 def large_communities(edges: DataFrame, limit: int | None = None) -> DataFrame:
     """Rows (vertex, community) of edges (src, dst) of components of any size: what :func:`modularity_communities` gives, over the whole cluster."""
     both = edges.select("component", "src", "dst").unionByName(edges.select("component", F.col("dst").alias("src"), F.col("src").alias("dst"))).where("src <> dst")
-    links, done = settle(both.distinct().withColumnRenamed("component", "piece")), []
+    links, done = settle(both.distinct().withColumnRenamed("component", "piece").withColumn("fine", F.lit(1).cast("bigint"))), []
     while True:
         found = _moved(links)
         named = found.join(found.groupBy("community").agg(F.min("vertex").alias("name"), F.count("*").alias("size")), "community")
         named = settle(named.join(found.groupBy("piece").agg(F.count("*").alias("all")), "piece").select("vertex", "name", "size", "all"))
-        again = F.lit(bool(limit)) & (F.col("size") > (limit or 0)) & (F.col("size") < F.col("all"))
+        again = F.lit(bool(limit)) & (F.col("size") > (limit or 0))
         done.append(named.where(~again).select("vertex", F.col("name").alias("community")))
-        split = named.where(again).select("vertex", "name")
+        split = named.where(again).select("vertex", "name", (F.col("size") == F.col("all")).alias("unsplit"))
         if split.isEmpty():
             break
-        inner = links.join(split.select(F.col("vertex").alias("src"), F.col("name").alias("piece_")), "src").join(split.select(F.col("vertex").alias("dst"), F.col("name").alias("other")), "dst")
-        links = settle(inner.where("piece_ = other").select(F.col("piece_").alias("piece"), "src", "dst"))
+        inner = links.join(split.select(F.col("vertex").alias("src"), F.col("name").alias("piece_"), "unsplit"), "src").join(split.select(F.col("vertex").alias("dst"), F.col("name").alias("other")), "dst")
+        links = settle(inner.where("piece_ = other").select(F.col("piece_").alias("piece"), F.when(F.col("unsplit"), F.col("fine") * 2).otherwise(F.col("fine")).alias("fine"), "src", "dst"))
         # a vertex without links inside stays alone
         done.append(split.join(links.select(F.col("src").alias("vertex")).distinct(), "vertex", "left_anti").select("vertex", F.col("vertex").alias("community")))
     return reduce(DataFrame.unionByName, done)

@@ -16,6 +16,8 @@ from archiveloom.functions.vectors import hashed
 from archiveloom.session import ship, spread
 
 QUERY_BLOCK = 8192
+#: Scores that a task holds at once (queries times rows), and candidates it keeps before it drops all but the best of each query.
+SCORES, CANDIDATES = 1 << 21, 1 << 20
 #: Scores are ranked after rounding, so that sums taken in another order rank alike; ties go to the smaller id.
 DIGITS = 9
 K1, B = 1.5, 0.75
@@ -40,16 +42,49 @@ def _blocks(queries: DataFrame, columns: list[str], most: int | None = None) ->
         yield block
 
 
-def _local_best(scores: np.ndarray, ids: np.ndarray, k: int) -> list[np.ndarray]:
-    """Per column (query) the positions of the k best scores, ties by id."""
-    scores = np.round(scores, DIGITS)
-    out = []
-    for j in range(scores.shape[1]):
-        col = scores[:, j]
-        top = np.arange(len(col)) if len(col) <= k else np.flatnonzero(col >= np.partition(col, len(col) - k)[len(col) - k])
-        order = np.lexsort((ids[top], -col[top]))[:k]
-        out.append(top[order])
-    return out
+class _Best:
+    """The k best rows of each query among those seen so far (ties by id), in memory of a fixed size for a block of queries."""
+
+    def __init__(self, qids: list | np.ndarray, k: int):
+        self.qids, self.k = np.array(qids, dtype=object), k
+        self.held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.n = 0
+
+    def add(self, scores: np.ndarray, ids: np.ndarray, first: int = 0) -> None:
+        """Scores of rows (ids) by queries from ``first`` on; minus infinity is no result."""
+        if not scores.size:
+            return
+        scores = np.round(scores, DIGITS)
+        least = np.full(scores.shape[1], -np.inf) if len(ids) <= self.k else np.partition(scores, len(ids) - self.k, axis=0)[len(ids) - self.k]
+        row, query = np.nonzero((scores >= least) & (scores > -np.inf))
+        self.held.append((query + first, ids[row], scores[row, query]))
+        self.n += len(row)
+        if self.n > CANDIDATES:
+            self._drop()
+
+    def _drop(self) -> None:
+        query, ids, scores = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((ids, -scores, query))
+        query, ids, scores = query[order], ids[order], scores[order]
+        begin = np.flatnonzero(np.concatenate([[True], query[1:] != query[:-1]]))
+        rank = np.arange(len(query)) - np.repeat(begin, np.diff(np.append(begin, len(query))))
+        kept = rank < self.k
+        self.held = [(query[kept], ids[kept], scores[kept])]
+        self.n = int(kept.sum())
+
+    def rows(self) -> Iterator[pd.DataFrame]:
+        if self.n:
+            self._drop()
+            query, ids, scores = self.held[0]
+            for at in range(0, len(query), 65_536):
+                part = slice(at, at + 65_536)
+                yield pd.DataFrame({"qid": self.qids[query[part]], "node_id": ids[part], "score": scores[part]})
+
+
+def _steps(n: int, width: int) -> Iterator[slice]:
+    """Parts of ``n`` rows, each of so many that rows times ``width`` stay within SCORES."""
+    step = max(1, SCORES // max(1, width))
+    return (slice(i, i + step) for i in range(0, n, step))
 
 
 def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str = "cosine", skip_self: bool = False) -> DataFrame:
@@ -70,18 +105,19 @@ def dense_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, metric: str =
             if metric == "cosine":
                 size = np.linalg.norm(q, axis=1, keepdims=True)
                 q = np.divide(q, size, out=np.zeros_like(q), where=size > 0)
+            best = _Best(qids, k)
             for pdf in batches:
-                ids, x = pdf["node_id"].to_numpy(), np.stack(pdf["vec"].to_numpy())
-                if metric == "cosine":
-                    size = np.linalg.norm(x, axis=1, keepdims=True)
-                    s = np.divide(x, size, out=np.zeros_like(x), where=size > 0) @ q.T
-                else:
-                    s = -np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * x @ q.T))
-                if skip_self:
-                    s[ids[:, None] == qids[None, :]] = -np.inf
-                for j, top in enumerate(_local_best(s, ids, k)):
-                    top = top[np.isfinite(s[top, j])]
-                    yield pd.DataFrame({"qid": qids[j], "node_id": ids[top], "score": np.round(s[top, j], DIGITS)})
+                for part in _steps(len(pdf), len(qids)):
+                    ids, x = pdf["node_id"].to_numpy()[part], np.stack(pdf["vec"].to_numpy()[part])
+                    if metric == "cosine":
+                        size = np.linalg.norm(x, axis=1, keepdims=True)
+                        s = np.divide(x, size, out=np.zeros_like(x), where=size > 0) @ q.T
+                    else:
+                        s = -np.sqrt(np.maximum(0, (x * x).sum(1)[:, None] + (q * q).sum(1)[None] - 2 * x @ q.T))
+                    if skip_self:
+                        s[ids[:, None] == qids[None, :]] = -np.inf
+                    best.add(s, ids)
+            yield from best.rows()
 
         parts.append(_best(rows.mapInPandas(score, f"qid {qkind}, node_id {kind}, score double"), k))
     empty = corpus.sparkSession.createDataFrame([], f"qid {qkind}, node_id {kind}, score double, rank int")
@@ -126,10 +162,10 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = K1
 
             word = regex.compile(WORDS)
             qids, at, idf, cells, avgdl = given.value
-            step = 512
+            step, best = 512, _Best(qids, k)
             for pdf in batches:
-                for first in range(0, len(pdf), 2048):
-                    part = pdf.iloc[first : first + 2048]
+                for span in _steps(len(pdf), max(len(idf), step)):
+                    part = pdf.iloc[span]
                     ids = part["node_id"].to_numpy()
                     tf = np.zeros((len(part), len(idf)))
                     dl = np.zeros(len(part))
@@ -145,8 +181,9 @@ def bm25_topk(queries: DataFrame, corpus: DataFrame, k: int = 10, k1: float = K1
                         q = np.zeros((len(idf), min(step, len(qids) - q0)))
                         q[own[:, 0], own[:, 1] - q0] = 1
                         s = weight @ q
-                        found = [(qids[q0 + j], ids[top[s[top, j] > 0]], s[top[s[top, j] > 0], j]) for j, top in enumerate(_local_best(s, ids, k))]
-                        yield pd.DataFrame({"qid": np.repeat([f[0] for f in found], [len(f[1]) for f in found]), "node_id": np.concatenate([f[1] for f in found]), "score": np.round(np.concatenate([f[2] for f in found]), DIGITS)})
+                        s[s <= 0] = -np.inf
+                        best.add(s, ids, q0)
+            yield from best.rows()
 
         parts.append(_best(rows.mapInPandas(score, f"qid {kinds[0]}, node_id {kinds[1]}, score double"), k))
     return reduce(DataFrame.unionByName, parts) if parts else empty
@@ -194,6 +231,7 @@ def maxsim_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, skip_self: bo
 
         def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             qids, asked = given.value
+            best = _Best(qids, k)
             starts = lambda xs: np.cumsum([0, *map(len, xs[:-1])])
             for pdf in batches:
                 ids, texts = pdf["node_id"].to_numpy(), [np.stack(v) for v in pdf["vecs"]]
@@ -206,9 +244,8 @@ def maxsim_topk(queries: DataFrame, corpus: DataFrame, k: int = 3, skip_self: bo
                     s = np.concatenate(s) if s else np.zeros((0, len(own)))
                     if skip_self:
                         s[ids[:, None] == qids[None, q0 : q0 + MANY_STEP]] = -np.inf
-                    for j, top in enumerate(_local_best(s, ids, k)):
-                        top = top[np.isfinite(s[top, j])]
-                        yield pd.DataFrame({"qid": qids[q0 + j], "node_id": ids[top], "score": np.round(s[top, j], DIGITS)})
+                    best.add(s, ids, q0)
+            yield from best.rows()
 
         return _best(rows.mapInPandas(score, f"qid {kinds[0]}, node_id {kinds[1]}, score double"), k)
 

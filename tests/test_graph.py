@@ -126,3 +126,20 @@ def test_communities_are_the_same_at_any_size(spark):
     assert small == large
     assert all(large[v] == v for v in set(large.values()))
     assert len({large[v] for e in star for v in e}) == 1
+
+
+@pytest.mark.parametrize("pairs", [clique(range(12)), [(0, i) for i in range(1, 41)], clique(range(7)) + clique(range(10, 17)) + [(0, 10)]])
+@pytest.mark.parametrize("limit", [3, 5])
+def test_the_limit_holds(pairs, limit):
+    """Cliques and stars too, which modularity alone leaves whole."""
+    found = G.modularity_communities(pairs, limit)
+    sizes = {}
+    for v, c in found.items():
+        sizes[c] = sizes.get(c, 0) + 1
+    assert max(sizes.values()) <= limit and set(found) == {v for p in pairs for v in p}
+
+
+def test_the_limit_holds_over_the_cluster(spark):
+    pairs = clique(range(5)) + [(10, i) for i in range(11, 16)]
+    edges = spark.createDataFrame([(a, b, "x") for a, b in pairs], "src bigint, dst bigint, label string")
+    assert {r["vertex"]: r["community"] for r in G.communities(edges, limit=3, largest=3).collect()} == G.modularity_communities(pairs, 3)

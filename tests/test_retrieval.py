@@ -127,3 +127,23 @@ def test_maxsim_of_all_queries(spark, monkeypatch):
     found = spark.createDataFrame([("q", "a", 2.0, 1), ("q", "b", 1.0, 2)], "qid string, node_id string, score double, rank int")
     again = S.rerank(found, spark.createDataFrame([("q", "wells of boats")], "qid string, text string"), spark.createDataFrame([("a", "wells"), ("b", "boats of wells")], "node_id string, text string"), S.maxsim_score, keep_score=True)
     assert [(r["node_id"], r["rank"], r["retrieval_score"]) for r in again.orderBy("rank").collect()] == [("b", 1, 1.0), ("a", 2, 2.0)]
+
+
+def test_best_rows_in_bounded_memory(monkeypatch):
+    """Blocks of any size and early drops give the ranking of a whole sort, ties by id."""
+    import numpy as np
+
+    from archiveloom.operators import retrieval
+
+    rng = np.random.default_rng(3)
+    scores, ids = rng.integers(0, 9, (700, 13)) / 8.0, rng.permutation(700)
+    scores[rng.random(scores.shape) < 0.1] = -np.inf
+    monkeypatch.setattr(retrieval, "CANDIDATES", 50)
+    best = retrieval._Best(list("abcdefghijklm"), 4)
+    for part in retrieval._steps(700, 100_000):
+        best.add(scores[part, :8], ids[part])
+        best.add(scores[part, 8:], ids[part], 8)
+    got = {q: list(zip(g["score"], g["node_id"])) for frame in best.rows() for q, g in frame.groupby("qid")}
+    for j, q in enumerate("abcdefghijklm"):
+        order = sorted((-s, i) for s, i in zip(scores[:, j], ids) if s > -np.inf)[:4]
+        assert got[q] == [(-s, i) for s, i in order]
