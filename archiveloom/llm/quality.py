@@ -43,7 +43,6 @@ _MARK = re.compile(r"\s*(?:[-–—•*·▪◦‣+]+\s+|[([]?(?:\d{1,3}|[A-Za-z
 _WORD = re.compile(r"[^\W\d_]+")
 #: What a row of a table must hold for a look at its cells.
 _CELLS = re.compile(r"[|\t&…]|\s\s|;.*;|\.\.\.\.|\s\.\s\.")
-_SYMBOL = re.compile(r"[^\w\s]|_")
 _DIGIT = re.compile(r"\d")
 _NO_WORD = re.compile(r"\W")
 _LEADER = re.compile(r"\w.*?(?:\.{4,}|(?:\s\.){3,}|…{2,})\s*\S")
@@ -103,7 +102,8 @@ def line_kinds(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[
 
 
 def _read(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[str], list[float]]:
-    """What :func:`line_kinds` gives, and the number of lines, their characters, the lines that end as sentences do, the words, their letters, those that are common."""
+    """What :func:`line_kinds` gives, and the number of lines, their characters, the lines that end as sentences do, the words, their letters, the words that are common,
+    and the digits."""
     lines, kinds, ended_, shown = [], [], 0, []
     n_words = n_letters = n_known = 0
     for line in lines_of(text):
@@ -111,10 +111,10 @@ def _read(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[str],
         if not tokens:
             continue
         lines.append(line)
-        found = _WORD.findall(line)
+        found = _WORD.findall(line.lower())
         visible = sum(map(len, tokens))
         shown.append(visible)
-        known = sum(map(common.__contains__, map(str.lower, found)))
+        known = sum(map(common.__contains__, found))
         letters = sum(map(len, found))
         n_words += len(found)
         n_letters += letters
@@ -170,17 +170,17 @@ def _read(text: str, common: frozenset[str]) -> tuple[dict[str, int], list[str],
     total = dict.fromkeys(KINDS, 0)
     for visible, kind in zip(shown, kinds):
         total[kind] += visible
-    return total, kinds, [len(lines), sum(map(len, lines)), ended_, n_words, n_letters, n_known]
+    return total, kinds, [len(lines), sum(map(len, lines)), ended_, n_words, n_letters, n_known, len(_DIGIT.findall(" ".join(lines)))]
 
 
 def statistics(text: str, common: frozenset[str]) -> list[float]:
     """The values named in STATS. A text without visible characters has zeros."""
-    total, _, (n, chars, ended, words, letters, known) = _read(text, common)
+    total, _, (n, chars, ended, words, letters, known, digits) = _read(text, common)
     visible = sum(total.values())
     if not visible:
         return [0.0] * len(STATS)
     shares = [total[k] / visible for k in KINDS[1:]]
-    return [float(words), letters / max(1, words), len(_SYMBOL.findall(text)) / visible, ended / n, known / max(1, words), len(_DIGIT.findall(text)) / visible, math.log1p(chars / n), *shares]
+    return [float(words), letters / max(1, words), max(0, visible - letters - digits) / visible, ended / n, known / max(1, words), digits / visible, math.log1p(chars / n), *shares]
 
 
 # The inspected examples that give components their kind.
