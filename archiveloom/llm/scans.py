@@ -13,6 +13,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Callable, Iterator
 
@@ -346,37 +347,39 @@ def observed(texts: DataFrame, links: DataFrame, contexts: list[str]) -> DataFra
 
     def look(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         context, rare, frequent = shared.value
+        # the words met so far: their numbers, and by number their context (-1 for none) and whether they are rare or frequent words of links
         number: dict[str, int] = {}
-        told: list[tuple[int, bool, bool]] = []
+        names: list[str] = []
+        marks = [array("q"), array("b"), array("b")]
         pairs = np.zeros(size * size)
         held_pairs: list[np.ndarray] = []
 
         def of_frequent() -> Iterator[pd.DataFrame]:
             key, m = np.unique(np.concatenate([*held_pairs, np.zeros(0, np.int64)]), return_counts=True)
             if len(key):
-                yield _observations("c", word=np.array([*number], dtype=object)[key // max(1, size)], ctx=key % max(1, size), m=m)
+                yield _observations("c", word=[names[i] for i in (key // max(1, size)).tolist()], ctx=key % max(1, size), m=m)
 
         for pdf in batches:
             if len(number) > 500_000:
-                number, told = {}, []
+                number, names, marks = {}, [], [array("q"), array("b"), array("b")]
             ids: list[int] = []
             owners: list[int] = []
             broken: list[tuple] = []
             for row, (rec, body) in enumerate(zip(pdf["rec_no"], pdf["body"])):
                 tokens = _TOKEN.findall(prepared(body))
                 for t in set(tokens).difference(number):
-                    number[t] = len(told)
-                    told.append((context.get(t, -1), len(t) >= 3 and in_sieve(t, *rare), len(t) >= 3 and in_sieve(t, *frequent)))
+                    number[t] = len(names)
+                    names.append(t)
+                    for mark, value in zip(marks, (context.get(t, -1), len(t) >= 3 and in_sieve(t, *rare), len(t) >= 3 and in_sieve(t, *frequent))):
+                        mark.append(value)
                 ids += map(number.__getitem__, tokens)
                 ids += [-1] * WINDOW
                 owners += [len(tokens) + WINDOW]
-                if "\n" in body and not pd.isna(rec):
+                if "\n" in body and _BREAK.search(body) and not pd.isna(rec):
                     broken += [(rec, w) for m in _BREAK.finditer(without_furniture(body)[0]) for w in ((m["left"] + m["right"]).lower(), f"{m['left']}-{m['right']}".lower())]
             # the words of the batch in one line, texts parted by gaps as wide as the window
             at = np.array(ids, np.int64)
-            look_up = np.array([*told, (-1, False, False)], np.int64)
-            ctx, is_rare, is_frequent = look_up[at].T
-            words = np.array([*number, None], dtype=object)
+            ctx, is_rare, is_frequent = (np.append(np.array(mark), none)[at] for mark, none in zip(marks, (-1, 0, 0)))
             beside: list[tuple[np.ndarray, np.ndarray]] = []
             for gap in range(1, WINDOW + 1):
                 a, b = ctx[:-gap], ctx[gap:]
@@ -396,7 +399,7 @@ def observed(texts: DataFrame, links: DataFrame, contexts: list[str]) -> DataFra
             for i, rec in zip(spots.tolist(), recs):
                 if not pd.isna(rec):
                     around = ctx[max(0, i - WINDOW) : i].tolist() + ctx[i + 1 : i + 1 + WINDOW].tolist()
-                    seen.setdefault((rec, words[at[i]]), []).extend(c for c in around if c >= 0)
+                    seen.setdefault((rec, names[at[i]]), []).extend(c for c in around if c >= 0)
             if seen:
                 yield _observations("s", rec_no=[r for r, _ in seen], word=[w for _, w in seen], near=list(seen.values()))
             if broken:
