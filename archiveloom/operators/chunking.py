@@ -57,7 +57,8 @@ def distances(left: Column, right: Column, loader: Callable[[], Embedder] = lamb
                 out.append(_cosine_distances(model(x[:-1]), model(y[1:])) if len(x) > 1 else np.zeros(0))
             yield pd.Series(out, index=a.index, dtype=object)
 
-    return run(left, right)
+    # not to be worked out anew in each place that the distances are used
+    return run.asNondeterministic()(left, right)
 
 
 def percentile(values: Column, p: float) -> Column:

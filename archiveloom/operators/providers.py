@@ -71,7 +71,8 @@ def generate(prompt: Column, loader: Callable[[], Generator] = lambda: echo) ->
             answers = iter(model(batch[there].tolist()))
             yield pd.Series([next(answers) if x else None for x in there], index=batch.index, dtype=object)
 
-    return T.response_text(run(prompt))
+    # one call for each prompt, however often its answer is used
+    return T.response_text(run.asNondeterministic()(prompt))
 
 
 def prompt(instruction: str, text: Column) -> Column:
