@@ -5,11 +5,15 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from hashlib import md5
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from archiveloom.functions.vectors import hashed
@@ -271,9 +275,184 @@ def maxsim_score(query: Column, text: Column, loader: Callable = lambda: hashed)
     return run(query, text)
 
 
+#: Sets of words that are broadcast at once; nodes of a bitmap, its bytes at most, pairs of node and word that wait for it, and words of 64 nodes counted at once.
+SET_BLOCK, MAP_NODES, MAP_BYTES, MAP_PAIRS, MAP_STEP = 1 << 18, 1 << 13, 1 << 26, 1 << 22, 1 << 16
+
+
+class _Named:
+    """The k best nodes of each set of words, by how many of its words they have, over nodes that come in the order of their ids (ties to the
+    earlier). Each word has a bitmap of the nodes that have it; those of a set are added up in binary, 64 nodes at a time."""
+
+    def __init__(self, codes: np.ndarray, sizes: np.ndarray, n_words: int, k: int):
+        """``codes``: the words of all sets, one set after another, of ``sizes`` words each."""
+        self.codes, self.of, self.n_words, self.k = codes, np.repeat(np.arange(len(sizes)), sizes), n_words, k
+        self.scores = np.zeros((len(sizes), k), dtype=np.int32)
+        self.ids = np.full((len(sizes), k), None, dtype=object)
+
+    def add(self, pairs: np.ndarray, ids: np.ndarray) -> None:
+        """Nodes ``ids`` that come after all before; ``pairs`` are node number times n_words plus word, each once and in order."""
+        word = pairs % self.n_words
+        present, local = np.unique(word, return_inverse=True)
+        if len(ids) > 64 and (len(ids) > MAP_NODES or len(present) * len(ids) > 8 * MAP_BYTES):
+            half = len(ids) // 2
+            cut = np.searchsorted(pairs, half * self.n_words)
+            self.add(pairs[:cut], ids[:half])
+            return self.add(pairs[cut:] - half * self.n_words, ids[half:])
+        if not len(pairs):
+            return
+        node, width = pairs // self.n_words, (len(ids) + 63) // 64
+        maps = np.zeros((len(present) + 1) * width * 8, dtype=np.uint8)  # the last row has no nodes
+        np.add.at(maps, local * (width * 8) + node // 8, (1 << (node % 8)).astype(np.uint8))
+        maps = maps.view("<u8").reshape(len(present) + 1, width)
+        row_of = np.full(self.n_words, -1)
+        row_of[present] = np.arange(len(present))
+        rows = row_of[self.codes]
+        sets, rows = self.of[rows >= 0], rows[rows >= 0]
+        sizes = np.bincount(sets, minlength=len(self.scores))
+        starts = np.cumsum(sizes) - sizes
+        asked = np.flatnonzero(sizes > self.scores[:, -1])  # else none of these nodes can come before the k there are
+        asked = asked[np.argsort(sizes[asked], kind="stable")]
+        step = max(1, MAP_STEP // width)
+        for some in (asked[i : i + step] for i in range(0, len(asked), step)):
+            nth = np.arange(sizes[some[-1]])
+            own = nth < sizes[some][:, None]
+            at = np.full(own.shape, len(present))
+            at[own] = rows[(starts[some][:, None] + nth)[own]]
+            self._count(some, maps, at, ids)
+
+    def _count(self, sets: np.ndarray, maps: np.ndarray, at: np.ndarray, ids: np.ndarray) -> None:
+        planes: list[np.ndarray] = []
+        for j in range(at.shape[1]):
+            carry = maps[at[:, j]]
+            for n, plane in enumerate(planes):
+                both = plane & carry
+                planes[n] = plane ^ carry
+                carry = both
+            if (j + 1) & j == 0:  # a power of two needs a digit more
+                planes.append(carry)
+        left = planes[0].copy()
+        for plane in planes[1:]:
+            left |= plane
+        need, found = np.full(len(sets), self.k), []
+        least = self.scores[sets, -1]
+        live = np.arange(len(sets))
+        while len(live):  # the nodes of the next lower score, until there are k
+            best, score = left[live], np.zeros(len(live), dtype=np.int32)
+            for n in reversed(range(len(planes))):
+                on = best & planes[n][live]
+                some = on.any(axis=1)
+                best = np.where(some[:, None], on, best & ~planes[n][live])
+                score += some.astype(np.int32) << n
+            good = score > least[live]
+            live, best, score = live[good], best[good], score[good]
+            if not len(live):
+                break
+            left[live] &= ~best
+            which, cell = np.nonzero(best)
+            nth = np.arange(len(which)) - np.searchsorted(which, which)
+            which, cell = which[nth < self.k], cell[nth < self.k]
+            bits, hits = best[which, cell], []
+            for _ in range(self.k):
+                on = np.flatnonzero(bits)
+                if not len(on):
+                    break
+                low = bits[on] & (~bits[on] + np.uint64(1))
+                hits.append((which[on], cell[on] * 64 + np.log2(low.astype(np.float64)).astype(np.int64)))
+                bits[on] ^= low
+            which, node = (np.concatenate(x) for x in zip(*hits))
+            order = np.lexsort((node, which))
+            which, node = which[order], node[order]
+            nth = np.arange(len(which)) - np.searchsorted(which, which)
+            taken = nth < need[live][which]
+            which, node, nth = which[taken], node[taken], nth[taken]
+            found.append((live[which], self.k - need[live[which]] + nth, node, score[which]))
+            need[live] -= np.bincount(which, minlength=len(live))
+            live = live[need[live] > 0]
+        if not found:
+            return
+        which, place, node, score = (np.concatenate(x) for x in zip(*found))
+        scores, names = np.zeros((len(sets), self.k), dtype=np.int32), np.full((len(sets), self.k), None, dtype=object)
+        scores[which, place], names[which, place] = score, ids[node]
+        scores, names = np.concatenate([self.scores[sets], scores], axis=1), np.concatenate([self.ids[sets], names], axis=1)
+        order = np.argsort(-scores, axis=1, kind="stable")[:, : self.k]
+        self.scores[sets], self.ids[sets] = np.take_along_axis(scores, order, axis=1), np.take_along_axis(names, order, axis=1)
+
+
+def _named_nodes(batches: Iterator[pa.RecordBatch], words: pa.Array, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Of rows (node_id, entities) in the order of node_id: pairs of nodes and words, and the nodes' ids, for ``most`` nodes or more at a time."""
+    ids: list = []
+    held: list[np.ndarray] = []
+    n = 0
+    for batch in batches:
+        batch = batch.filter(batch.column(1).is_valid())
+        names, lists = batch.column(0).to_pylist(), batch.column(1)
+        if not names:
+            continue
+        names = np.array([None, *names], dtype=object)[1:]
+        new = np.append(not ids or names[0] != ids[-1], names[1:] != names[:-1]).astype(bool)
+        node = len(ids) - 1 + np.cumsum(new)
+        ids.extend(names[new])
+        code = pc.index_in(lists.flatten(), value_set=words, skip_nulls=True)
+        known = code.is_valid().to_numpy(zero_copy_only=False)
+        parent = pc.list_parent_indices(lists).to_numpy()
+        held.append(np.unique(node[parent[known]] * len(words) + code.drop_null().to_numpy()))
+        n += len(held[-1])
+        if n > MAP_PAIRS or len(ids) > most:
+            held = [np.unique(np.concatenate(held))]
+            n = len(held[0])
+        if (n > MAP_PAIRS or len(ids) > most) and len(ids) > 1:
+            last = (len(ids) - 1) * len(words)  # the last node may go on in the next batch
+            cut = np.searchsorted(held[0], last)
+            yield held[0][:cut], np.array([None, *ids[:-1]], dtype=object)[1:]
+            ids, held = ids[-1:], [held[0][cut:] - last]
+            n = len(held[0])
+    if n:
+        yield np.unique(np.concatenate(held)), np.array([None, *ids], dtype=object)[1:]
+
+
+def named_topk(queries: DataFrame, nodes: DataFrame, k: int = 3) -> DataFrame:
+    """Nodes by the number of their entities that the query names: nodes (node_id, entities array<string>), queries (qid, text); a node may have several
+    rows, and so may a query, whose words then count once for each. Nodes without a common word aren't results; a null id comes last in ties.
+
+    Queries of the same words are answered once: their sets of words are broadcast, each task holds all of them against its nodes and only its best k
+    of each set travel, so that there are never rows for the pairs of queries and nodes; a digest stands for the set."""
+    spark = nodes.sparkSession
+    ship(spark)
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(1)))
+    texts = queries.select("qid", F.array_join(words, " ").alias("terms")).groupBy("qid").agg(F.collect_list(F.nullif("terms", F.lit(""))).alias("texts")).where("size(texts) > 0")
+    asked = texts.select("qid", F.array_join(F.array_sort(F.split(F.array_join("texts", " "), " ")), " ").alias("terms"))
+    parts = max(1, spark.sparkContext.defaultParallelism)
+    rows = nodes.select("node_id", "entities").repartition(parts, "node_id").sortWithinPartitions(F.col("node_id").asc_nulls_last())
+    kinds = queries.schema["qid"].dataType.simpleString(), nodes.schema["node_id"].dataType.simpleString()
+    kind = to_arrow_type(nodes.schema["node_id"].dataType)
+
+    def held(block: list) -> DataFrame:
+        at: dict[str, int] = {}
+        codes = [[at.setdefault(t, len(at)) for t in r["terms"].split(" ")] for r in block]
+        sizes = np.array([len(c) for c in codes])
+        given = spark.sparkContext.broadcast(([md5(r["terms"].encode()).digest() for r in block], np.concatenate(codes), sizes, list(at)))
+
+        def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            digests, codes, sizes, words = given.value
+            best = _Named(codes, sizes, len(words), k)
+            for pairs, ids in _named_nodes(batches, pa.array(words, pa.string()), MAP_NODES):
+                best.add(pairs, ids)
+            for i in range(0, len(digests), 1 << 15):
+                there = best.scores[i : i + (1 << 15)]
+                own, place = np.nonzero(there)
+                columns = pa.array(digests[i : i + (1 << 15)], pa.binary()).take(pa.array(own)), pa.array(best.ids[i + own, place].tolist(), kind), pa.array(there[own, place])
+                yield pa.RecordBatch.from_arrays(list(columns), ["digest", "node_id", "hits"])
+
+        return rows.mapInArrow(score, f"digest binary, node_id {kinds[1]}, hits int")
+
+    found = [held(block) for block in _blocks(asked.select("terms").distinct(), ["terms"], SET_BLOCK)]
+    if not found:
+        return spark.createDataFrame([], f"qid {kinds[0]}, node_id {kinds[1]}, score double, rank int")
+    w = Window.partitionBy("digest").orderBy(F.col("hits").desc(), F.col("node_id").asc_nulls_last())
+    best = reduce(DataFrame.unionByName, found).withColumn("rank", F.row_number().over(w).cast("int")).where(F.col("rank") <= k)
+    return asked.select("qid", F.unhex(F.md5("terms")).alias("digest")).join(best, "digest").select("qid", "node_id", F.col("hits").cast("double").alias("score"), "rank")
+
+
 def graph_topk(queries: DataFrame, edges: DataFrame, k: int = 3) -> DataFrame:
     """Nodes by the number of their edges' entities (src or dst) that the query names: edges (src, dst, node_id), queries (qid, text)."""
-    words = F.explode(F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(WORDS), F.lit(1)))).alias("entity")
-    ends = edges.select(F.lower("src").alias("entity"), "node_id").unionByName(edges.select(F.lower("dst").alias("entity"), "node_id")).distinct()
-    hits = queries.select("qid", words).join(ends, "entity").groupBy("qid", "node_id").agg(F.count("*").cast("double").alias("score"))
-    return _best(hits, k).select("qid", "node_id", "score", "rank")
+    return named_topk(queries, edges.select("node_id", F.array(F.lower("src"), F.lower("dst")).alias("entities")), k)

@@ -147,3 +147,66 @@ def test_best_rows_in_bounded_memory(monkeypatch):
     for j, q in enumerate("abcdefghijklm"):
         order = sorted((-s, i) for s, i in zip(scores[:, j], ids) if s > -np.inf)[:4]
         assert got[q] == [(-s, i) for s, i in order]
+
+
+def test_nodes_by_named_entities(spark, monkeypatch):
+    """All pairs counted one by one give the same rows, whatever the sizes of maps and blocks; ids, queries and texts may be null or come twice."""
+    rng = np.random.default_rng(5)
+    words = [f"word{i}" for i in range(40)]
+    pick = lambda n: [words[i] for i in np.minimum(rng.geometric(0.1, n) - 1, 39)]
+    nodes = [(f"n{rng.integers(300):03}" if i % 50 else None, [*pick(rng.integers(0, 9)), None]) for i in range(600)] + [("n000", ["n000", *words] * 3), ("n001", None)]
+    asked = [(f"q{i % 110}" if i % 40 else None, " ".join(pick(rng.integers(0, 12))).upper() + "? N000") for i in range(120)] + [("q1", None), ("q2", " ".join(words * 2)), ("q3", "absent"), ("q5", "word3 n001")]
+    has, count = {}, {}
+    for node, entities in nodes:
+        has.setdefault(node, set()).update(e for e in entities or [] if e)
+    for qid, text in asked:
+        for w in set((text or "").lower().replace("?", "").split()):
+            for node in has:
+                if w in has[node]:
+                    count[qid, node] = count.get((qid, node), 0) + 1
+    want = {}
+    for qid in {q for q, _ in count}:
+        order = sorted((-n, node is None, node or "", node) for (q, node), n in count.items() if q == qid)[:3]
+        want |= {(qid, rank): (o[3], float(-o[0])) for rank, o in enumerate(order, 1)}
+    given = spark.createDataFrame(nodes, "node_id string, entities array<string>").repartition(7), spark.createDataFrame(asked, "qid string, text string")
+    for most, block in ((1 << 14, 1 << 18), (70, 11)):
+        monkeypatch.setattr(S, "MAP_NODES", most)
+        monkeypatch.setattr(S, "SET_BLOCK", block)
+        got = S.named_topk(given[1], given[0]).collect()
+        assert {(r["qid"], r["rank"]): (r["node_id"], r["score"]) for r in got} == want and len(got) == len(want)
+    assert S.named_topk(given[1].limit(0), given[0]).collect() == [] and S.named_topk(given[1], given[0].limit(0)).collect() == []
+
+
+def test_no_rows_for_pairs_of_queries_and_nodes(spark):
+    """Queries and nodes that share a word aren't joined by it: no words are made rows, and queries meet their answers in the only join."""
+    edges = spark.createDataFrame([("wells", f"port{i}", f"n{i:03}") for i in range(200)], "src string, dst string, node_id string")
+    asked = spark.createDataFrame([(f"q{i}", f"wells of port{i % 7}") for i in range(200)], "qid string, text string")
+    found = S.graph_topk(asked, edges)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and plan.count("Join") == 1
+    assert {(r["qid"], r["rank"]): (r["node_id"], r["score"]) for r in found.collect()} == {(f"q{i}", rank): x for i in range(200) for rank, x in enumerate([(f"n{i % 7:03}", 2.0), *[(f"n{j:03}", 1.0) for j in range(3) if j != i % 7][:2]], 1)}
+
+
+@pytest.mark.parametrize("most, size, pairs, step", [(1 << 14, 1 << 26, 1 << 22, 1 << 14), (70, 64, 30, 1), (500, 300, 1 << 22, 7), (3, 1 << 26, 40, 100)])
+def test_maps_of_any_size(monkeypatch, most, size, pairs, step):
+    """Nodes in parts of any size, rows of one node in several batches, and words that a set holds twice."""
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "MAP_BYTES", size)
+    monkeypatch.setattr(S, "MAP_PAIRS", pairs)
+    monkeypatch.setattr(S, "MAP_STEP", step)
+    monkeypatch.setattr(S, "MAP_NODES", most)
+    rng = np.random.default_rng(6)
+    words = [f"w{i}" for i in range(30)]
+    nodes = sorted((int(rng.integers(700)), [words[i] for i in rng.integers(0, 30, rng.integers(0, 7))]) for _ in range(1500))
+    sets = [[int(i) for i in rng.integers(0, 30, rng.integers(1, 40 if j % 9 == 0 else 6))] for j in range(60)]
+    has = {}
+    for node, entities in nodes:
+        has.setdefault(node, set()).update(entities)
+    batches = [pa.RecordBatch.from_arrays([pa.array([f"{n:03}" for n, _ in nodes[i : i + 13]]), pa.array([e for _, e in nodes[i : i + 13]], pa.list_(pa.string()))], ["node_id", "entities"]) for i in range(0, 1500, 13)]
+    best = S._Named(np.concatenate(sets), np.array([len(s) for s in sets]), 30, 4)
+    for found, ids in S._named_nodes(batches, pa.array(words), most):
+        best.add(found, ids)
+    for j, s in enumerate(sets):
+        order = sorted((-sum(words[c] in e for c in s), n) for n, e in has.items())[:4]
+        assert [(-int(x), int(n)) for x, n in zip(best.scores[j], best.ids[j]) if x] == [o for o in order if o[0]]
